@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,18 +79,35 @@ def lex_bound(col: Column, bound: str, lower: bool) -> Column:
     return col < value if bound[0] == "(" else col <= value
 
 
-@F.pandas_udf("string")
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+def lcs(a: Column | str, b: Column | str) -> Column:
     """Longest common subsequence, by dynamic programming; no built-in has it."""
-    return pd.Series([None if x is None or y is None else _lcs(x, y)[0] for x, y in zip(a, b, strict=True)])
+    return F.pandas_udf(_lcs_text, "string")(a, b)
 
 
-@F.pandas_udf("array<struct<a_start:int,a_end:int,b_start:int,b_end:int,len:int>>")
-def lcs_ranges(a: pd.Series, b: pd.Series) -> pd.Series:
+def lcs_ranges(a: Column | str, b: Column | str) -> Column:
     """The runs of the longest common subsequence, last first."""
+    return F.pandas_udf(_lcs_runs, "array<struct<a_start:int,a_end:int,b_start:int,b_end:int,len:int>>")(a, b)
+
+
+def xxh3_hex(value: Column | str) -> Column:
+    """16 hex digits of XXH3-64 of the UTF-8 bytes; the built-in xxhash64 is another function."""
+    return F.pandas_udf(_xxh3, "string")(value)
+
+
+def _lcs_text(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _lcs(x, y)[0] for x, y in zip(a, b, strict=True)])
+
+
+def _lcs_runs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _lcs(x, y)[1] for x, y in zip(a, b, strict=True)])
 
 
+def _xxh3(values: pd.Series) -> pd.Series:
+    import xxhash
+
+    return values.map(lambda v: None if v is None else xxhash.xxh3_64_hexdigest(v.encode()))
+
+
 def _lcs(a: str, b: str) -> tuple[str, list[dict[str, int]]]:
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
@@ -111,12 +127,3 @@ def _lcs(a: str, b: str) -> tuple[str, list[dict[str, int]]]:
         else:
             j -= 1
     return "".join(reversed(out)), runs
-
-
-@F.pandas_udf("string")
-def xxh3_hex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """16 hex digits of XXH3-64 of the UTF-8 bytes; the built-in xxhash64 is another function."""
-    import xxhash
-
-    for s in batches:
-        yield s.map(lambda v: None if v is None else xxhash.xxh3_64_hexdigest(v.encode()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,17 +17,26 @@ UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "mi": 1609.34}
 BITS = 26
 
 
+def _let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of x with x evaluated once: written out, each step below would double the expression."""
+    return F.transform(F.array(x), fn)[0]
+
+
+def _step(shift: Callable[[Column, int], Column], by: int, mask: int) -> Callable[[Column], Column]:
+    return lambda v: v.bitwiseOR(shift(v, by)).bitwiseAND(F.lit(mask))
+
+
 def _spread(x: Column) -> Column:
     """Bits of a 26-bit number moved to the even places."""
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        x = _let(x, _step(F.shiftleft, shift, mask))
     return x
 
 
 def _squash(x: Column) -> Column:
     x = x.bitwiseAND(F.lit(0x5555555555555555))
     for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
+        x = _let(x, _step(F.shiftright, shift, mask))
     return x
 
 
@@ -60,9 +71,8 @@ def geopos(g: DataFrame) -> DataFrame:
 def geohash(g: DataFrame) -> DataFrame:
     """The 11-character text form, on the full latitude range; its last character stands for the missing bits."""
     lon, lat = decode(F.col("hash"))
-    h = encode(lon, lat, 90.0)
-    chars = [F.substring(F.lit(ALPHABET), F.shiftright(h, 47 - 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(10)]
-    return g.select("key", "member", F.concat(*chars, F.lit("0")).alias("geohash"))
+    text = lambda h: F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(h, 47 - 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for i in range(10)], F.lit("0"))
+    return g.select("key", "member", _let(encode(lon, lat, 90.0), text).alias("geohash"))
 
 
 def geodist(g: DataFrame, pairs: DataFrame, unit: str = "m") -> DataFrame:

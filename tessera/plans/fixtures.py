@@ -17,11 +17,11 @@ CTE = {
     "s": "s AS (SELECT DISTINCT o_orderpriority AS key, CAST(o_custkey AS VARCHAR) AS member FROM orders)",
     "h": "h AS (SELECT 'part:' || p_partkey AS key, 'name' AS field, p_name AS value FROM part UNION ALL SELECT 'part:' || p_partkey, 'brand', p_brand FROM part UNION ALL SELECT 'part:' || p_partkey, 'type', p_type FROM part UNION ALL SELECT 'part:' || p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part)",
     "l": "l AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn AS seq, role || (turn % 3) AS value FROM conversations)",
-    "kv": "kv AS (SELECT 'user:' || c_custkey AS key, c_name || '/' || c_mktsegment AS value, CASE WHEN c_custkey % 3 > 0 THEN epoch(TIMESTAMP '2024-01-01') + c_custkey * 60 END AS at FROM customer)",
+    "kv": "kv AS (SELECT 'user:' || c_custkey AS key, c_name || '/' || c_mktsegment AS value, CASE WHEN c_custkey % 3 > 0 THEN epoch(TIMESTAMP '2024-01-01') + c_custkey * 60 END AS due FROM customer)",
     "b": "b AS (SELECT DISTINCT event_type AS key, user_id AS \"offset\" FROM events)",
     "g": "g AS (SELECT CAST(c_nationkey AS VARCHAR) AS key, c_name AS member, (c_custkey * 7919 % 36000) / 100.0 - 180 AS lon, (c_custkey * 10007 % 17000) / 100.0 - 85 AS lat FROM customer)",
     "d": "d AS (SELECT CAST(event_id AS VARCHAR) AS key, props AS doc, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)",
-    "e": "e AS (SELECT event_type AS key, epoch_ms(ts) AS ms, event_id AS seq, user_id, value FROM events)",
+    "e": "e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, event_id AS seq, user_id, value FROM events)",
     "m": "m AS (SELECT event_type AS channel, CAST(event_id AS VARCHAR) AS payload FROM events)",
 }
 

@@ -30,7 +30,7 @@ BIG = "CAST({} AS BIGINT)"
 SEG = ["FURNITURE", "MACHINERY", "BUILDING"]
 HIGH, LOW, URGENT = "2-HIGH", "5-LOW", "1-URGENT"
 _EPOCH = f"epoch(TIMESTAMP '{NOW}')"
-_LIVE = f"(at IS NULL OR at > {_EPOCH})"
+_LIVE = f"(due IS NULL OR due > {_EPOCH})"
 
 
 def _asked(t: Fixtures) -> DataFrame:
@@ -48,17 +48,17 @@ add("substr", lambda t: strings.getrange(t.kv, 2, 5), "kv", "SELECT key, substri
 add("lcs", lambda t: strings.longest_common(t.t("nation").select(F.col("n_name").alias("a"), F.concat(F.lit("X"), F.substring("n_name", 3, 20)).alias("b"))).select("a", "b", "lcs", "lcs_len"),
     body="SELECT n_name AS a, 'X' || substring(n_name, 3, 20) AS b, substring(n_name, 3, 20) AS lcs, CAST(length(substring(n_name, 3, 20)) AS BIGINT) AS lcs_len FROM nation")
 add("digest", lambda t: strings.digest(t.kv))
-add("set", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%7'").select("key", F.lit("new").alias("value"))).select("key", "value", F.unix_seconds("expires_at").alias("at")),
-    "kv", "SELECT key, CASE WHEN key LIKE '%7' THEN 'new' ELSE value END AS value, CAST(CASE WHEN key NOT LIKE '%7' THEN at END AS BIGINT) AS at FROM kv")
-add("set_xx_keepttl", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%7'").select("key", F.lit("new").alias("value")).union(t.rows([("none", "x")], "key string, value string")), "XX", True).select("key", "value", F.unix_seconds("expires_at").alias("at")),
-    "kv", "SELECT key, CASE WHEN key LIKE '%7' THEN 'new' ELSE value END AS value, CAST(at AS BIGINT) AS at FROM kv")
+add("set", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%7'").select("key", F.lit("new").alias("value"))).select("key", "value", F.unix_seconds("expires_at").alias("due")),
+    "kv", "SELECT key, CASE WHEN key LIKE '%7' THEN 'new' ELSE value END AS value, CAST(CASE WHEN key NOT LIKE '%7' THEN due END AS BIGINT) AS due FROM kv")
+add("set_xx_keepttl", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%7'").select("key", F.lit("new").alias("value")).union(t.rows([("none", "x")], "key string, value string")), "XX", True).select("key", "value", F.unix_seconds("expires_at").alias("due")),
+    "kv", "SELECT key, CASE WHEN key LIKE '%7' THEN 'new' ELSE value END AS value, CAST(due AS BIGINT) AS due FROM kv")
 add("set_ifeq", lambda t: strings.set_values(t.kv, t.kv.select("key", F.lit("new").alias("value"), F.concat(F.substring("value", 1, 19), F.lit("MACHINERY")).alias("match")), "IFEQ").select("key", "value"),
     "kv", "SELECT key, CASE WHEN value LIKE '%/MACHINERY' THEN 'new' ELSE value END AS value FROM kv")
 add("setnx", lambda t: strings.setnx(t.kv, _asked(t).select("key").distinct()), "kv", f"WITH {_ASKED} SELECT DISTINCT a.key, CAST(CASE WHEN kv.key IS NULL THEN 1 ELSE 0 END AS BIGINT) AS created FROM a LEFT JOIN kv USING (key)")
-add("setex", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%5'").select("key", "value", F.timestamp_seconds(F.unix_seconds(t.now) + 90).alias("expires_at"))).select("key", F.unix_seconds("expires_at").alias("at")),
-    "kv", f"SELECT key, CAST(CASE WHEN key LIKE '%5' THEN {_EPOCH} + 90 ELSE at END AS BIGINT) AS at FROM kv")
+add("setex", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%5'").select("key", "value", F.timestamp_seconds(F.unix_seconds(t.now) + 90).alias("expires_at"))).select("key", F.unix_seconds("expires_at").alias("due")),
+    "kv", f"SELECT key, CAST(CASE WHEN key LIKE '%5' THEN {_EPOCH} + 90 ELSE due END AS BIGINT) AS due FROM kv")
 add("psetex", lambda t: strings.set_values(t.kv, t.kv.filter("key like '%5'").select("key", "value", F.timestamp_millis(F.unix_millis(t.now) + 1500).alias("expires_at"))).select("key", F.unix_millis("expires_at").alias("at_ms")),
-    "kv", f"SELECT key, CAST(CASE WHEN key LIKE '%5' THEN {_EPOCH} * 1000 + 1500 ELSE at * 1000 END AS BIGINT) AS at_ms FROM kv")
+    "kv", f"SELECT key, CAST(CASE WHEN key LIKE '%5' THEN {_EPOCH} * 1000 + 1500 ELSE due * 1000 END AS BIGINT) AS at_ms FROM kv")
 add("getset", lambda t: strings.getset(t.kv, _asked(t).select("key").distinct().withColumn("value", F.lit("v"))), "kv", f"WITH {_ASKED} SELECT DISTINCT a.key, kv.value AS old, 'v' AS value FROM a LEFT JOIN kv USING (key)")
 add("getdel", lambda t: strings.getdel(t.kv, _asked(t))[1].select("key"), "kv", f"WITH {_ASKED} SELECT key FROM kv WHERE key NOT IN (SELECT key FROM a)")
 add("getex", lambda t: strings.getex(t.kv, _asked(t).select("key").distinct().withColumn("expires_at", F.lit(None).cast("timestamp"))).select("key", "value"), "kv", f"WITH {_ASKED} SELECT key, value FROM kv WHERE key IN (SELECT key FROM a)")
@@ -94,11 +94,11 @@ add("dbsize", lambda t: strings.dbsize(_catalog(t)), "kv h l s z", "SELECT (SELE
 add("randomkey", lambda t: strings.randomkey(t.kv, 1).agg(F.count("*").alias("n")), body="SELECT CAST(1 AS BIGINT) AS n")
 add("flushdb", lambda t: t.kv.limit(0).agg(F.count("*").alias("n")), body="SELECT CAST(0 AS BIGINT) AS n")
 add("memory_usage", lambda t: strings.memory_usage(t.h, "field", "value"), "h", "SELECT key, CAST(sum(strlen(key) + strlen(field) + strlen(value)) AS BIGINT) AS bytes FROM h GROUP BY key")
-for _cond, _test in ((None, "true"), ("NX", "at IS NULL"), ("XX", "at IS NOT NULL"), ("GT", "at IS NOT NULL AND na >= at"), ("LT", "at IS NULL OR na <= at")):
-    add(f"expire{'_' + _cond.lower() if _cond else ''}", lambda t, c=_cond: strings.expire(t.kv, t.kv.select("key", F.timestamp_seconds(F.unix_seconds(t.now) + (F.length("value") - 26) * 3600).alias("new_at")), t.now, c).select("key", F.unix_seconds("expires_at").alias("at")),
-        "kv", f"SELECT key, CAST(CASE WHEN {_test} THEN na ELSE at END AS BIGINT) AS at FROM (SELECT *, {_EPOCH} + (length(value) - 26) * 3600 AS na FROM kv) WHERE NOT (({_test}) AND na < {_EPOCH})")
-add("persist", lambda t: strings.persist(t.kv, _asked(t)).select("key", F.unix_seconds("expires_at").alias("at")), "kv", f"WITH {_ASKED} SELECT key, CAST(CASE WHEN key NOT IN (SELECT key FROM a) THEN at END AS BIGINT) AS at FROM kv")
-for _name, _unit, _abs, _expr in (("ttl", "s", False, f"at - {_EPOCH}"), ("pttl", "ms", False, f"(at - {_EPOCH}) * 1000"), ("expiretime", "s", True, "at"), ("pexpiretime", "ms", True, "at * 1000")):
+for _cond, _test in ((None, "true"), ("NX", "due IS NULL"), ("XX", "due IS NOT NULL"), ("GT", "due IS NOT NULL AND na >= due"), ("LT", "due IS NULL OR na <= due")):
+    add(f"expire{'_' + _cond.lower() if _cond else ''}", lambda t, c=_cond: strings.expire(t.kv, t.kv.select("key", F.timestamp_seconds(F.unix_seconds(t.now) + (F.length("value") - 26) * 3600).alias("new_at")), t.now, c).select("key", F.unix_seconds("expires_at").alias("due")),
+        "kv", f"SELECT key, CAST(CASE WHEN {_test} THEN na ELSE due END AS BIGINT) AS due FROM (SELECT *, {_EPOCH} + (length(value) - 26) * 3600 AS na FROM kv) WHERE NOT (({_test}) AND na < {_EPOCH})")
+add("persist", lambda t: strings.persist(t.kv, _asked(t)).select("key", F.unix_seconds("expires_at").alias("due")), "kv", f"WITH {_ASKED} SELECT key, CAST(CASE WHEN key NOT IN (SELECT key FROM a) THEN due END AS BIGINT) AS due FROM kv")
+for _name, _unit, _abs, _expr in (("ttl", "s", False, f"due - {_EPOCH}"), ("pttl", "ms", False, f"(due - {_EPOCH}) * 1000"), ("expiretime", "s", True, "due"), ("pexpiretime", "ms", True, "due * 1000")):
     add(_name, lambda t, u=_unit, a=_abs: strings.ttl(t.kv, t.kv.select("key").union(t.rows([("none",)], "key string")), t.now, u, a), "kv", f"SELECT key, CAST(coalesce({_expr}, -1) AS BIGINT) AS ttl FROM kv UNION ALL SELECT 'none', -2")
 
 # --- hashes ------------------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ add("lindex", lambda t: lists.lindex(t.l, -2), "l", f"WITH {_I} SELECT key, valu
 add("lset", lambda t: _show(lists.lset(t.l, -1, "last")), "l", f"WITH {_I} SELECT key, CAST(pos AS BIGINT) AS pos, CASE WHEN pos = n - 1 THEN 'last' ELSE value END AS value FROM i")
 add("lrem", lambda t: lists.lrem(t.l, -1, "user0"), "l", "SELECT key, seq, value FROM (SELECT *, max(CASE WHEN value = 'user0' THEN seq END) OVER (PARTITION BY key) AS x FROM l) WHERE x IS NULL OR seq <> x")
 add("ltrim", lambda t: lists.ltrim(t.l, -3, -2), "l", f"WITH {_I} SELECT key, seq, value FROM i WHERE pos BETWEEN n - 3 AND n - 2")
-add("linsert", lambda t: _show(lists.linsert(t.l, "assistant1", "new")), "l", f"WITH {_I}, p AS (SELECT key, min(pos) AS at FROM i WHERE value = 'assistant1' GROUP BY key) SELECT i.key, CAST(pos + CASE WHEN pos >= at THEN 1 ELSE 0 END AS BIGINT) AS pos, value FROM i LEFT JOIN p USING (key) UNION ALL SELECT key, at, 'new' FROM p")
+add("linsert", lambda t: _show(lists.linsert(t.l, "assistant1", "new")), "l", f"WITH {_I}, p AS (SELECT key, min(pos) AS due FROM i WHERE value = 'assistant1' GROUP BY key) SELECT i.key, CAST(pos + CASE WHEN pos >= due THEN 1 ELSE 0 END AS BIGINT) AS pos, value FROM i LEFT JOIN p USING (key) UNION ALL SELECT key, due, 'new' FROM p")
 add("lpos", lambda t: lists.lpos(t.l, "user0", -1, 2), "l", f"WITH {_I} SELECT key, nth, CAST(pos AS BIGINT) AS pos FROM (SELECT key, pos, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS nth FROM i WHERE value = 'user0') WHERE nth <= 2")
 add("lmove", lambda t: _show(lists.lmove(t.l, t.rows([("1", "2")], "src string, dst string"), True, False)), "l", f"WITH {_I} SELECT key, CAST(pos - CASE key WHEN '1' THEN 1 ELSE 0 END AS BIGINT) AS pos, value FROM i WHERE NOT (key = '1' AND pos = 0) UNION ALL SELECT '2', (SELECT count(*) FROM l WHERE key = '2'), value FROM i WHERE key = '1' AND pos = 0")
 add("rpoplpush", lambda t: _show(lists.rpoplpush(t.l, t.rows([("1", "1")], "src string, dst string"))), "l", f"WITH {_I} SELECT key, CAST(CASE key WHEN '1' THEN (pos + 1) % n ELSE pos END AS BIGINT) AS pos, value FROM i")
@@ -302,7 +302,7 @@ _MS = "1704070000000"
 _after = f"ms > {_MS}"
 _slim = lambda df: df.drop("fields")
 _groups = lambda t: t.e.select("key").distinct().select("key", F.lit("g").alias("grp"), F.lit(int(_MS)).cast("long").alias("last_ms"), F.lit(0).cast("long").alias("last_seq"))
-_PEND = f"p AS (SELECT key, 'g' AS grp, 'c' || (seq % 3) AS consumer, ms, seq, ms // 1000 * 1000 AS at, 1 + seq % 2 AS deliveries FROM e WHERE ms <= {_MS})"
+_PEND = f"p AS (SELECT key, 'g' AS grp, 'c' || (seq % 3) AS consumer, ms, seq, ms // 1000 * 1000 AS due, 1 + seq % 2 AS deliveries FROM e WHERE ms <= {_MS})"
 _pend = lambda t: t.e.filter(f"ms <= {_MS}").select("key", F.lit("g").alias("grp"), F.concat(F.lit("c"), (F.col("seq") % 3).cast("string")).alias("consumer"), "ms", "seq", F.timestamp_seconds(F.expr("ms div 1000")).alias("delivered_at"), (1 + F.col("seq") % 2).alias("deliveries"))
 _at = lambda t: F.timestamp_millis(F.lit(int(_MS)))
 _none = lambda t: _pend(t).limit(0)
@@ -321,16 +321,16 @@ add("xdelex_acked", lambda t: _slim(streams.xdelex(t.e, _pend(t), t.e.filter("se
 add("xackdel_delref", lambda t: streams.xackdel(t.e, _pend(t), _pend(t).filter("seq % 5 = 0"), "DELREF")[1].select("key", "seq"), "e", f"WITH {_PEND} SELECT key, seq FROM p WHERE seq % 5 > 0")
 add("xinfo_stream", lambda t: streams.xinfo_stream(t.e, _groups(t)).select("key", "length", F.col("first_id.ms").alias("first_ms"), F.col("last_id.ms").alias("last_ms"), "groups"), "e", "SELECT key, count(*) AS length, min(ms) AS first_ms, max(ms) AS last_ms, CAST(1 AS BIGINT) AS groups FROM e GROUP BY key")
 add("xinfo_groups", lambda t: streams.lag(t.e, _groups(t), _pend(t)), "e", f"WITH {_PEND} SELECT key, 'g' AS grp, CAST(sum(CASE WHEN ms > {_MS} OR (ms = {_MS} AND seq > 0) THEN 1 ELSE 0 END) AS BIGINT) AS lag, CAST(sum(CASE WHEN ms <= {_MS} THEN 1 ELSE 0 END) AS BIGINT) AS pending, count(DISTINCT CASE WHEN ms <= {_MS} THEN seq % 3 END) AS consumers FROM e GROUP BY key")
-add("xinfo_consumers", lambda t: streams.xinfo_consumers(_pend(t), _at(t)), "e", f"WITH {_PEND} SELECT key, grp, consumer, count(*) AS pending, CAST({_MS} - max(at) AS BIGINT) AS idle FROM p GROUP BY 1, 2, 3")
+add("xinfo_consumers", lambda t: streams.xinfo_consumers(_pend(t), _at(t)), "e", f"WITH {_PEND} SELECT key, grp, consumer, count(*) AS pending, CAST({_MS} - max(due) AS BIGINT) AS idle FROM p GROUP BY 1, 2, 3")
 add("xreadgroup", lambda t: streams.xreadgroup(t.e, _groups(t), _none(t), "c", _at(t), 4)[2].select("key", "consumer", "ms", "seq", "deliveries"), "e", f"SELECT key, 'c' AS consumer, ms, seq, CAST(1 AS BIGINT) AS deliveries FROM (SELECT key, ms, seq, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM e WHERE ms > {_MS} OR (ms = {_MS} AND seq > 0)) WHERE r <= 4")
 add("xreadgroup_history", lambda t: _slim(streams.history(t.e, _pend(t), "c1")), "e", f"WITH {_PEND} SELECT key, grp, ms, seq FROM p WHERE consumer = 'c1'")
 add("xack", lambda t: streams.xack(_pend(t), _pend(t).filter("seq % 2 = 0")).select("key", "seq"), "e", f"WITH {_PEND} SELECT key, seq FROM p WHERE seq % 2 = 1")
 add("xpending_summary", lambda t: streams.xpending_summary(_pend(t)).select("key", "grp", "n", F.col("first_id.seq").alias("first_seq"), F.col("last_id.seq").alias("last_seq")), "e", f"WITH {_PEND} SELECT key, grp, count(*) AS n, arg_min(seq, (ms, seq)) AS first_seq, arg_max(seq, (ms, seq)) AS last_seq FROM p GROUP BY 1, 2")
 add("xpending_consumers", lambda t: streams.xpending_consumers(_pend(t)), "e", f"WITH {_PEND} SELECT key, grp, consumer, count(*) AS n FROM p GROUP BY 1, 2, 3")
-add("xpending", lambda t: streams.xpending(_pend(t), _at(t), count=5, consumer="c1", min_idle=3_600_000).select("key", "ms", "seq", "idle", "deliveries"), "e", f"WITH {_PEND} SELECT key, ms, seq, CAST({_MS} - at AS BIGINT) AS idle, deliveries FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM p WHERE consumer = 'c1' AND {_MS} - at >= 3600000) WHERE r <= 5")
-add("xclaim", lambda t: streams.xclaim(_pend(t), _pend(t).filter("seq % 2 = 0"), "new", 3_600_000, _at(t))[1].select("key", "seq", "consumer", "deliveries"), "e", f"WITH {_PEND} SELECT key, seq, CASE WHEN c THEN 'new' ELSE consumer END AS consumer, deliveries + CASE WHEN c THEN 1 ELSE 0 END AS deliveries FROM (SELECT *, seq % 2 = 0 AND {_MS} - at >= 3600000 AS c FROM p)")
+add("xpending", lambda t: streams.xpending(_pend(t), _at(t), count=5, consumer="c1", min_idle=3_600_000).select("key", "ms", "seq", "idle", "deliveries"), "e", f"WITH {_PEND} SELECT key, ms, seq, CAST({_MS} - due AS BIGINT) AS idle, deliveries FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM p WHERE consumer = 'c1' AND {_MS} - due >= 3600000) WHERE r <= 5")
+add("xclaim", lambda t: streams.xclaim(_pend(t), _pend(t).filter("seq % 2 = 0"), "new", 3_600_000, _at(t))[1].select("key", "seq", "consumer", "deliveries"), "e", f"WITH {_PEND} SELECT key, seq, CASE WHEN c THEN 'new' ELSE consumer END AS consumer, deliveries + CASE WHEN c THEN 1 ELSE 0 END AS deliveries FROM (SELECT *, seq % 2 = 0 AND {_MS} - due >= 3600000 AS c FROM p)")
 add("xclaim_force", lambda t: streams.xclaim(_none(t), _pend(t).filter("seq % 2 = 0"), "new", 0, _at(t), force=t.e)[1].select("key", "seq", "deliveries"), "e", f"WITH {_PEND} SELECT key, seq, CAST(1 AS BIGINT) AS deliveries FROM p WHERE seq % 2 = 0")
-add("xautoclaim", lambda t: streams.xautoclaim(t.e.filter("seq % 7 > 0"), _pend(t), "new", 3_600_000, _at(t), count=20)[1].filter("consumer = 'new'").select("key", "seq"), "e", f"WITH {_PEND} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM p WHERE {_MS} - at >= 3600000) WHERE r <= 20 AND seq % 7 > 0")
+add("xautoclaim", lambda t: streams.xautoclaim(t.e.filter("seq % 7 > 0"), _pend(t), "new", 3_600_000, _at(t), count=20)[1].filter("consumer = 'new'").select("key", "seq"), "e", f"WITH {_PEND} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM p WHERE {_MS} - due >= 3600000) WHERE r <= 20 AND seq % 7 > 0")
 add("xgroup_create", lambda t: streams.group_create(_groups(t), t.rows([("click", "g", 0, 0), ("click", "h", 0, 0)], "key string, grp string, last_ms long, last_seq long")).groupBy("key").agg(F.count("*").alias("n")), "e", "SELECT DISTINCT key, CAST(CASE key WHEN 'click' THEN 2 ELSE 1 END AS BIGINT) AS n FROM e")
 add("xgroup_destroy", lambda t: streams.group_destroy(_groups(t), _pend(t), t.rows([("click", "g")], "key string, grp string"))[0].select("key"), "e", "SELECT DISTINCT key FROM e WHERE key <> 'click'")
 add("xgroup_setid", lambda t: streams.group_setid(_groups(t), t.rows([("click", "g", 5, 6)], "key string, grp string, last_ms long, last_seq long")), "e", f"SELECT DISTINCT key, 'g' AS grp, CAST(CASE key WHEN 'click' THEN 5 ELSE {_MS} END AS BIGINT) AS last_ms, CAST(CASE key WHEN 'click' THEN 6 ELSE 0 END AS BIGINT) AS last_seq FROM e")

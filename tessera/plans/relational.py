@@ -45,7 +45,7 @@ STATEMENTS: dict[str, str] = {
     "sql_values": "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(i, s)",
     "sql_is_distinct": "SELECT n_nationkey FROM nation WHERE nullif(n_regionkey, 0) IS NOT DISTINCT FROM NULL",
     "sql_strings": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, length(n_name) AS len, replace(n_name, '_', '-') AS r, substr(n_name, 2, 3) AS s, instr(n_name, '_') AS i, trim(concat(' ', n_name, ' ')) AS t FROM nation",
-    "sql_math": "SELECT s_suppkey, abs(s_acctbal) AS a, round(s_acctbal, 1) AS r, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, sign(s_acctbal) AS g, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier",
+    "sql_math": "SELECT s_suppkey, abs(s_acctbal) AS a, round(s_acctbal, 1) AS r, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, CAST(sign(s_acctbal) AS BIGINT) AS g, round(sqrt(abs(s_acctbal)), 6) AS q, s_suppkey % 7 AS m FROM supplier",
     "sql_nulls": "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), 99) AS c, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS n FROM nation",
     "sql_in_list_cast": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,1)) AS p FROM orders WHERE o_orderkey IN (1, 5, 9)",
     "sql_scan_pk": "SELECT * FROM part WHERE p_partkey = 17",
