@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tessera.functions.text import from_end, within_indexes
 from tessera.operators.effects import anti_delete
 
-_BY = Window.partitionBy("key")
+def _by() -> WindowSpec:
+    return Window.partitionBy("key")
 
 
 def indexed(lst: DataFrame) -> DataFrame:
     """With pos (zero-based) and n (length)."""
-    return lst.withColumns({"pos": F.row_number().over(_BY.orderBy("seq")) - 1, "n": F.count("*").over(_BY)})
+    return lst.withColumns({"pos": F.row_number().over(_by().orderBy("seq")) - 1, "n": F.count("*").over(_by())})
 
 
 def push(lst: DataFrame, new: DataFrame, left: bool = False, only_existing: bool = False) -> DataFrame:
     """lst after new(key, ord, value): each pushed in turn to the tail, or to the head."""
     ends = lst.groupBy("key").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     j = new.join(ends, "key", "inner" if only_existing else "left")
-    nth = F.row_number().over(_BY.orderBy("ord"))
+    nth = F.row_number().over(_by().orderBy("ord"))
     seq = F.coalesce("lo", F.lit(0)) - nth if left else F.coalesce("hi", F.lit(-1)) + nth
     return lst.unionByName(j.select("key", seq.cast("long").alias("seq"), "value"))
 
 
 def pop(lst: DataFrame, count: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """(popped with ord, rest)."""
-    ranked = lst.withColumn("ord", F.row_number().over(_BY.orderBy(F.col("seq") if left else F.col("seq").desc())))
+    ranked = lst.withColumn("ord", F.row_number().over(_by().orderBy(F.col("seq") if left else F.col("seq").desc())))
     return ranked.filter(F.col("ord") <= count).select("key", "ord", "value"), ranked.filter(F.col("ord") > count).drop("ord")
 
 
@@ -62,7 +63,7 @@ def lrem(lst: DataFrame, count: int, value: str) -> DataFrame:
     """Without the first count matches, the last -count, or all (0)."""
     hit = F.col("value") == value
     order = F.col("seq").desc() if count < 0 else F.col("seq")
-    nth = F.sum(F.when(hit, 1).otherwise(0)).over(_BY.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.sum(F.when(hit, 1).otherwise(0)).over(_by().orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     ranked = lst.withColumn("nth", nth)
     return ranked.filter(~F.coalesce(hit, F.lit(False)) | (F.lit(bool(count)) & (F.col("nth") > abs(count)))).drop("nth")
 
@@ -85,7 +86,7 @@ def lpos(lst: DataFrame, value: str, rank: int = 1, count: int | None = None, ma
     i = indexed(lst)
     seen = F.col("pos") if rank > 0 else F.col("n") - 1 - F.col("pos")
     hits = (i.filter(seen < maxlen) if maxlen else i).filter(F.col("value") == value)
-    nth = F.row_number().over(_BY.orderBy(F.col("pos") if rank > 0 else F.col("pos").desc()))
+    nth = F.row_number().over(_by().orderBy(F.col("pos") if rank > 0 else F.col("pos").desc()))
     take = hits.withColumn("nth", nth).filter(F.col("nth") >= abs(rank))
     most = 1 if count is None else count
     return (take.filter(F.col("nth") < abs(rank) + most) if most else take).select("key", "nth", "pos")

@@ -9,7 +9,12 @@ from pyspark.sql.window import Window
 
 from tessera.operators.effects import anti_delete, upsert
 
-ID = F.struct("ms", "seq")
+
+
+def _id() -> Column:
+    return F.struct("ms", "seq")
+
+
 _ENTRY = ["key", "ms", "seq"]
 _PENDING = ["key", "grp", "ms", "seq"]
 
@@ -37,10 +42,10 @@ def in_range(start: str, end: str) -> Column:
 
 def xadd(e: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(e after, rejected) of new(ord, key, ms, seq, fields): an id not above all before it is refused, never reordered."""
-    last = e.groupBy("key").agg(F.max(ID).alias("last"))
-    before = F.max(ID).over(Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    last = e.groupBy("key").agg(F.max(_id()).alias("last"))
+    before = F.max(_id()).over(Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     j = new.withColumn("before", before).join(last, "key", "left")
-    ok = (F.col("before").isNull() | (ID > F.col("before"))) & (F.col("last").isNull() | (ID > F.col("last"))) & ((F.col("ms") > 0) | (F.col("seq") > 0))
+    ok = (F.col("before").isNull() | (_id() > F.col("before"))) & (F.col("last").isNull() | (_id() > F.col("last"))) & ((F.col("ms") > 0) | (F.col("seq") > 0))
     return e.unionByName(j.filter(ok).select(*e.columns)), j.filter(~ok).select(*new.columns)
 
 
@@ -98,7 +103,7 @@ def xdelex(e: DataFrame, p: DataFrame, ids: DataFrame, policy: str = "KEEPREF")
 
 
 def xinfo_stream(e: DataFrame, g: DataFrame) -> DataFrame:
-    a = e.groupBy("key").agg(F.count("*").alias("length"), F.min(ID).alias("first_id"), F.max(ID).alias("last_id"))
+    a = e.groupBy("key").agg(F.count("*").alias("length"), F.min(_id()).alias("first_id"), F.max(_id()).alias("last_id"))
     b = g.groupBy("key").agg(F.count("*").alias("groups"))
     return a.join(b, "key", "left").select("key", "length", "first_id", "last_id", F.coalesce("groups", F.lit(0)).alias("groups"))
 
@@ -119,7 +124,7 @@ def xreadgroup(e: DataFrame, g: DataFrame, p: DataFrame, consumer: str, now: Col
     j = e.join(g, "key").filter(_after(F.col("last_ms"), F.col("last_seq"), True))
     r = j.withColumn("pos", F.row_number().over(Window.partitionBy("key", "grp").orderBy("ms", "seq")))
     got = r if count is None else r.filter(F.col("pos") <= count)
-    last = got.groupBy("key", "grp").agg(F.max(ID).alias("last")).select("key", "grp", F.col("last.ms").alias("last_ms"), F.col("last.seq").alias("last_seq"))
+    last = got.groupBy("key", "grp").agg(F.max(_id()).alias("last")).select("key", "grp", F.col("last.ms").alias("last_ms"), F.col("last.seq").alias("last_seq"))
     new = got.select("key", "grp", F.lit(consumer).alias("consumer"), "ms", "seq", now.alias("delivered_at"), F.lit(1).cast("long").alias("deliveries"))
     return got.select("key", "grp", "ms", "seq", "fields"), upsert(g, last, ["key", "grp"]), p if noack else p.unionByName(new)
 
@@ -138,7 +143,7 @@ def xackdel(e: DataFrame, p: DataFrame, ids: DataFrame, policy: str = "KEEPREF")
 
 
 def xpending_summary(p: DataFrame) -> DataFrame:
-    return p.groupBy("key", "grp").agg(F.count("*").alias("n"), F.min(ID).alias("first_id"), F.max(ID).alias("last_id"))
+    return p.groupBy("key", "grp").agg(F.count("*").alias("n"), F.min(_id()).alias("first_id"), F.max(_id()).alias("last_id"))
 
 
 def xpending_consumers(p: DataFrame) -> DataFrame:

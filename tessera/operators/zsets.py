@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tessera.functions.text import from_end, lex_bound, score_bound, within_indexes
 from tessera.operators.effects import anti_delete, upsert
 
-_BY = Window.partitionBy("key")
+def _by() -> WindowSpec:
+    return Window.partitionBy("key")
 
 
 def _order(rev: bool = False) -> list[Column]:
@@ -18,7 +19,7 @@ def _order(rev: bool = False) -> list[Column]:
 
 def ranked(z: DataFrame, rev: bool = False) -> DataFrame:
     """With rank (zero-based) and n: ZRANK or ZREVRANK of every member at once."""
-    return z.withColumns({"rank": F.row_number().over(_BY.orderBy(*_order(rev))) - 1, "n": F.count("*").over(_BY)})
+    return z.withColumns({"rank": F.row_number().over(_by().orderBy(*_order(rev))) - 1, "n": F.count("*").over(_by())})
 
 
 def zscore(z: DataFrame, member: str) -> DataFrame:
@@ -39,7 +40,7 @@ def zrange(z: DataFrame, start: int, stop: int, rev: bool = False) -> DataFrame:
 
 
 def _page(z: DataFrame, rev: bool, limit: tuple[int, int] | None) -> DataFrame:
-    r = z.withColumn("pos", F.row_number().over(_BY.orderBy(*_order(rev))) - 1)
+    r = z.withColumn("pos", F.row_number().over(_by().orderBy(*_order(rev))) - 1)
     if limit:
         offset, count = limit
         r = r.filter((F.col("pos") >= offset) & ((F.col("pos") < offset + count) if count >= 0 else F.lit(True)))
@@ -138,7 +139,7 @@ def zrem(z: DataFrame, victims: DataFrame) -> DataFrame:
 
 
 def zpop(z: DataFrame, count: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:
-    r = z.withColumn("ord", F.row_number().over(_BY.orderBy(*_order(highest))))
+    r = z.withColumn("ord", F.row_number().over(_by().orderBy(*_order(highest))))
     return r.filter(F.col("ord") <= count), r.filter(F.col("ord") > count).drop("ord")
 
 
