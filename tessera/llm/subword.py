@@ -8,6 +8,8 @@ that one window suffices and several add up (window 0: the whole text is one bag
 
 from __future__ import annotations
 
+import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,8 @@ import numpy as np
 from tessera.llm import wordnum
 
 SIZES = (3, 4, 5)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -146,27 +150,33 @@ def train(texts: list[str], labels: np.ndarray, classes: int, settings: Settings
     bias = np.log(np.maximum(share, 1e-6))
     if len(np.unique(labels)) < 2:
         return Model(settings, np.zeros((settings.buckets, classes), np.float32), np.log(np.maximum(priors, 1e-6)))
-    raw, offsets = codes(texts)
-    starts, ends, at = words(raw, offsets)
-    key = wordnum.word_hashes(raw.astype(np.uint64), starts, ends)
-    _, first, of = np.unique(key, return_index=True, return_inverse=True)  # n-grams hang together by distinct words
-    parts = grams(raw, starts, ends, settings)
-    word_at = np.zeros(len(raw), np.int64)
-    word_at[starts - 1] = 1
-    word_at = np.cumsum(word_at) - 1
-    rank = np.full(len(starts), -1)
-    rank[first] = np.arange(len(first))
-    g_word, g_bucket = [], []
-    for on, bucket in parts:  # n-grams of each distinct word once
-        r = rank[word_at[on]]
-        g_word.append(r[r >= 0])
-        g_bucket.append(bucket[r >= 0].astype(np.int64))
+    # Texts are kept as numbers of their distinct words, and n-grams are made of those words alone.
+    vocabulary: dict[str, int] = {}
+    of, at = array("i"), np.zeros(len(texts) + 1, np.int64)
+    for i, t in enumerate(texts):
+        of.extend(vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.translate(_LOWER)))
+        at[i + 1] = len(of)
+    of = np.frombuffer(of, np.int32) if len(of) else np.zeros(0, np.int32)
+    g_word, g_bucket, counts = [], [], []
+    distinct = list(vocabulary)
+    for i in range(0, len(distinct), 50_000):
+        raw, offsets = codes(distinct[i : i + 50_000])
+        starts, ends, _ = words(raw, offsets)
+        word_at = np.zeros(len(raw), np.int32)
+        word_at[starts - 1] = 1
+        word_at = np.cumsum(word_at, dtype=np.int32) - 1 + i
+        counts.append(np.maximum(gram_count(ends - starts, settings), 1))
+        for on, bucket in grams(raw, starts, ends, settings):
+            g_word.append(word_at[on])
+            g_bucket.append(bucket.astype(np.int32))
+    if not distinct:
+        return Model(settings, np.zeros((settings.buckets, classes), np.float32), np.log(np.maximum(priors, 1e-6)))
     g_word, g_bucket = np.concatenate(g_word), np.concatenate(g_bucket)
-    g_weight = 1.0 / np.maximum(gram_count(ends - starts, settings)[first], 1)[g_word]
-    used, g_bucket = np.unique(g_bucket, return_inverse=True)
-    by = np.argsort(g_word, kind="stable")
-    g_bucket, g_weight = g_bucket[by], g_weight[by]
-    g_from = np.searchsorted(g_word[by], np.arange(len(first) + 1))
+    g_weight = (1.0 / np.concatenate(counts)).astype(np.float32)[g_word]
+    used = np.unique(g_bucket)
+    by = np.argsort(g_word, kind="stable").astype(np.int32)
+    g_bucket, g_weight = np.searchsorted(used, g_bucket[by]).astype(np.int32), g_weight[by]
+    g_from = np.searchsorted(g_word[by], np.arange(len(distinct) + 1))
     filled = np.flatnonzero(np.diff(at) > 0)
     even = 1.0 / np.maximum(np.bincount(labels[filled], minlength=classes), 1)
     even *= len(filled) / max(1, np.count_nonzero(np.bincount(labels[filled], minlength=classes)))
