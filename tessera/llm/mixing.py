@@ -3,7 +3,8 @@
 A classifier learnt from a labelled table gives each document a posterior over domains. Nonnegative rates r are then
 fitted so that the expected tokens of each domain, S_k = sum_d r_d tokens_d p_dk, match targets T_k: least squares in
 the metric of A A' (A has the columns tokens_d p_d), by projected gradient from r = 1, whose step in that metric is 1:
-r <- max(0, r - A' (A A')^-1 (S - T)). A document's rate follows from its own few numbers and the K numbers of each
+r <- r - A' (A A')^-1 (S - T), held within 0 and MOST repetitions. Without an upper bound, a target for a domain that is
+all but absent would repeat the few documents with a trace of it thousands of times. A document's rate follows from its own few numbers and the K numbers of each
 step, so a step is one distributed sum and rates are never gathered.
 """
 
@@ -25,6 +26,8 @@ DOMAINS = ("low", "high", "toxic")
 WEIGHTS = {"low": 0.08, "high": 0.90, "toxic": 0.02}
 SAMPLE_ROWS = 1_500
 STEPS, EXACT = 60, 1e-9
+#: The most a document may be repeated.
+MOST = 4.0
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def _columns(b: pa.RecordBatch, k: int) -> np.ndarray:
 def _rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     r = np.ones(len(a))
     for y in steps:
-        r = np.maximum(0.0, r - a @ y)
+        r = np.clip(r - a @ y, 0.0, MOST)
     return r
 
 
@@ -82,7 +85,7 @@ def _sums(members: DataFrame, k: int, steps: list[np.ndarray], gram: bool = Fals
 def fit_rates(members: DataFrame, weights: np.ndarray, tokens: float | None = None, most_steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The steps that give the rates, the fitted domain totals and the targets (both in tokens). members must be settled.
 
-    tokens: the mix's size; all there are if not given. Targets that no nonnegative rates reach are met as closely as
+    tokens: the mix's size; all there are if not given. Targets that no rates within 0 and MOST reach are met as closely as
     least squares can; domains without tokens stay empty.
     """
     k = len(weights)
