@@ -34,8 +34,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents occur as often as the mix's rates say."""
-    return mixing.mix_documents(docs, mixing.domains_of(_labels(spark, sf_dir)))
+    """Documents occur as often as the mix's rates say. Toxic documents are gone by now, so their domain has no share."""
+    weights = {**mixing.WEIGHTS, "toxic": 0.0}
+    return mixing.mix_documents(docs, mixing.domains_of(_labels(spark, sf_dir)), weights=weights)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
