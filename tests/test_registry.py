@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,10 +30,9 @@ def test_scripts_and_libraries(spark):
         r.evalsha(sha, {}, [])
 
 
-def double(s):
-    return s * 2
-
-
 def test_sql_function(spark):
+    def double(s: pd.Series) -> pd.Series:
+        return s * 2
+
     register_sql(spark, "twice_it", double, "long")
     assert [x.d for x in spark.sql("SELECT twice_it(id) AS d FROM range(3)").collect()] == [0, 2, 4]
