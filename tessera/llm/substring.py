@@ -1,11 +1,12 @@
 """Passages that recur across or within documents: the earliest ranked occurrence stays, the others go.
 
-Units are lines, and windows of `window` words that start at anchors chosen by the text itself (of any `window`
-successive starts, the one whose hash is least). Any passage of 2 * window - 1 words holds at least one whole
-anchored window, wherever lines break around it. Unit digests are grouped globally; each unit that isn't the
-earliest by (doc_id, place) marks its words, grown by up to `window` - 1 words on both sides as far as the words
-around it equal those around the earliest one (by eight bits each: one end in 256 takes a word too many). Marked
-runs of at least `least` words are removed.
+A word goes if it lies in a run of `least` words that occurs earlier, by (doc_id, place), anywhere. So the result
+depends on the texts alone, whatever else shares parts of a passage and however rows are dealt.
+
+Not every run is compared. Of any `window` successive `window`-word grams of a text the one whose hash is least is an
+anchor. All anchors inside a repeated run stand in its other occurrence too, so a first pass looks for anchors
+that occur twice, and a second one compares only those runs all of whose anchors do, by digests. Runs are dealt
+by their first and last anchors, so that neighbouring ones meet their repeats in one task and leave as one range.
 """
 
 from __future__ import annotations
@@ -18,165 +19,261 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordnum
-from tessera.llm.common import map_batches, parts, small_batches, strings, text_columns
+from tessera.llm.common import map_batches, parts, small_batches, strings
 
 WINDOW = 16
 LEAST = 50
-UNIT = "d1 long, d2 int, doc long, first int, words int, b1 long, b2 long, a1 long, a2 long"
-_AROUND = ("b1", "b2", "a1", "a2")
-_FILLER = wordnum.mix(np.arange(1, 17, dtype=np.uint64))
+#: Units of a task that are held before they are handed on.
+HELD = 2_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Places of a row: word numbers (anchors), or pairs of them (ranges).
+_PLACES = "doc long, key int, at array<int>"
+_KINDS = {"d1": pa.int64(), "d2": pa.int64(), "doc": pa.int64(), "key": pa.int32(), "first": pa.int32(), "at": pa.list_(pa.int32())}
+_UNIT = "d1 long, d2 long, doc long, key int, first int, at array<int>"
+_FIELDS = ("d1", "d2", "doc", "key", "first")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with __doc and __key, which name a distinct pair of doc_id and text: rows that repeat a doc_id with another text have another key."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__key", key)
+
+
+def _mins(grams: np.ndarray, window: int) -> np.ndarray:
+    return wordnum.slide(grams, window, np.minimum) if len(grams) >= window else grams[:0]
+
+
+def anchors(words: np.ndarray, at: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, among the words of a batch, of the anchors of texts of `least` words and more, and the hashes of all grams."""
+    grams = wordnum.gram_hashes(words, window)
+    low = _mins(grams, window)
+    inside = _inside(at, len(low), 2 * window - 1, least)
+    # A gram is an anchor if one of the `window` minima over it, each within its text, is its own hash.
+    edge = np.zeros(window - 1, np.uint64)
+    high = wordnum.slide(np.concatenate((edge, np.where(inside, low, 0), edge)), window, np.maximum) if len(low) else grams[:0]
+    # The greatest minimum over a gram is at most its hash, as each such window holds the gram.
+    return np.flatnonzero(high == grams[: len(high)]), grams
+
+
+def _inside(at: np.ndarray, n: int, span: int, least: int) -> np.ndarray:
+    """Of n starts, those whose span of words lies in one text of at least `least` words."""
+    step = np.zeros(n + 1, np.int64)
+    starts, ends = at[:-1], at[1:] - span + 1
+    on = (np.diff(at) >= least) & (ends > starts)
+    np.add.at(step, starts[on], 1)
+    np.add.at(step, ends[on], -1)
+    return np.cumsum(step)[:n] > 0
+
+
+def candidates(words: np.ndarray, at: np.ndarray, found: np.ndarray, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs of `least` words all of whose anchors are among the places `found`, a digest of their first and last anchors, and one of all words."""
+    grams = wordnum.gram_hashes(words, window)
+    known = np.full(len(grams), _TOP)
+    known[found] = grams[found]
+    low = _mins(grams, window)
+    if len(words) < least:
+        first = np.zeros(0, np.int64)
+    else:
+        lost = (_mins(known, window) != low).astype(np.uint8)
+        first = np.flatnonzero((wordnum.slide(lost, least - 2 * window + 2, np.maximum) == 0) & _inside(at, len(words) - least + 1, least, least))
+    d1 = wordnum.mix(low[first] * np.uint64(wordnum.BASES[0]) + low[first + least - 2 * window + 1])
+    d2 = wordnum.mix(wordnum.span_sums(wordnum.mix(words), first, first + least, wordnum.BASES[0]))
+    return first, d1.view(np.int64), d2.view(np.int64)
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, at = wordnum.bounds(raw, offsets)
+    return (wordnum.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), at
 
 
-def _around(words: np.ndarray, text: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Eight bits of each of the 16 words from `at` on in direction `step`, nearest first, in two longs; beyond the text a filler."""
-    out = np.zeros((2, len(at)), np.uint64)
-    home = text[np.clip(at - step, 0, len(words) - 1)]
-    for i in range(16):
-        j = at + step * i
-        ok = (j >= 0) & (j < len(words))
-        j = np.clip(j, 0, len(words) - 1)
-        ok &= text[j] == home
-        out[i // 8] |= (np.where(ok, words[j], _FILLER[i]) & np.uint64(255)) << np.uint64(8 * (i % 8))
-    return out
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return new
 
 
-def units(raw: np.ndarray, offsets: np.ndarray, window: int, least: int) -> dict[str, np.ndarray]:
-    """Units of a batch of texts: row of the text, first word, word count, two digests, and the words around."""
-    starts, ends, at = wordnum.bounds(raw, offsets)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    words = wordnum.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    firsts, counts = [], []
-    if len(words) >= window:
-        grams = wordnum.gram_hashes(words, window)
-        grams[text[: len(grams)] != text[window - 1 :]] = _TOP  # windows over two texts
-        # Sentinels keep the texts apart, so that a text's anchors don't depend on its neighbours.
-        apart = np.arange(len(grams)) + (window + 1) * (text[: len(grams)] + 1)
-        spread = np.full(int(apart[-1]) + window + 1, _TOP)
-        spread[apart] = grams
-        low = wordnum.slide(spread, window, np.minimum)
-        high = wordnum.slide(np.concatenate((np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64))), window, np.maximum)
-        chosen = np.flatnonzero((high[: len(spread)][apart] == grams) & (grams != _TOP))
-        firsts.append(chosen)
-        counts.append(np.full(len(chosen), window))
-    if len(words):
-        line = np.concatenate(([0], np.cumsum(np.add.reduceat(raw == 10, starts)[:-1]))) if len(starts) > 1 else np.zeros(1, np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (text[1:] != text[:-1]))))
-        size = np.diff(np.append(new, len(words)))
-        firsts.append(new[size >= least])
-        counts.append(size[size >= least])
-    if not firsts or not sum(map(len, firsts)):
-        none = np.zeros(0, np.int64)
-        return {"row": none, "first": none, "words": none, "d1": none.astype(np.uint64), "d2": none.astype(np.uint64), **{k: none.astype(np.uint64) for k in _AROUND}, "at": at}
-    first, count = np.concatenate(firsts), np.concatenate(counts)
-    d1 = wordnum.mix(wordnum.span_sums(words, first, first + count, wordnum.BASES[1]) ^ count.astype(np.uint64))
-    d2 = wordnum.mix(wordnum.span_sums(wordnum.mix(words), first, first + count, wordnum.BASES[0]))
-    return {
-        "row": text[first], "first": first - at[text[first]], "words": count, "d1": d1, "d2": d2 & np.uint64(0x7FFFFFFF),
-        **dict(zip(_AROUND, (*_around(words, text, first - 1, -1), *_around(words, text, first + count, 1)), strict=True)), "at": at,
-    }
-
-
-def _grown(near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-    """How many of the nearest `most` words agree, by the differences of both longs."""
-    n = np.zeros(len(near), np.int64)
-    alive = np.ones(len(near), bool)
-    for i in range(most):
-        alive &= (((near, far)[i // 8] >> np.uint64(8 * (i % 8))) & np.uint64(255)) == 0
-        n += alive
-    return n
-
-
-def _later(cols: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Of units sorted by digest and rank: which are their digest's first, and the marks (doc, lo, hi) of the others."""
-    new = np.concatenate(([True], (cols["d1"][1:] != cols["d1"][:-1]) | (cols["d2"][1:] != cols["d2"][:-1])))
+def _batch(cols: dict[str, pa.Array], n: int, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[k], _KINDS[k]) if k in cols else pa.nulls(n, _KINDS[k]) for k in names], list(names))
+
+
+def _lists(doc: np.ndarray, key: np.ndarray, at: np.ndarray, names: tuple[str, ...], each: bool = False) -> pa.RecordBatch:
+    """A row for each (doc, key), which are sorted, with its entries of `at` (one or more columns) end to end; or a row for each entry."""
+    heads = np.arange(len(doc)) if each else np.flatnonzero(_new(doc, key))
+    width = at.shape[1] if at.ndim > 1 else 1
+    lists = pa.ListArray.from_arrays(pa.array((np.append(heads, len(doc)) * width).astype(np.int32)), pa.array(at.ravel().astype(np.int32)))
+    return _batch({"doc": doc[heads], "key": key[heads], "at": lists}, len(heads), names)
+
+
+def _places(cols: dict[str, np.ndarray], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    if len(cols["doc"]):
+        order = np.lexsort((cols["first"], cols["key"], cols["doc"]))
+        yield _lists(cols["doc"][order], cols["key"][order], cols["first"][order], names)
+
+
+def _ranges(marks: dict[str, np.ndarray], names: tuple[str, ...], each: bool = False) -> Iterator[pa.RecordBatch]:
+    """The ranges of each (doc, key), joined where one begins within the one before."""
+    if len(marks["doc"]):
+        order = np.lexsort((marks["hi"], marks["lo"], marks["key"], marks["doc"]))
+        doc, key, lo, hi = (marks[k][order] for k in ("doc", "key", "lo", "hi"))
+        head = np.flatnonzero(_new(doc, key) | np.concatenate(([True], lo[1:] > hi[:-1])))
+        yield _lists(doc[head], key[head], np.stack((lo[head], np.maximum.reduceat(hi, head)), 1), names, each)
+
+
+def _later(cols: dict[str, np.ndarray], window: int, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of runs sorted by digest and rank: which are their digest's first, and the marks (doc, key, lo, hi) of the others."""
+    new = _new(cols["d1"], cols["d2"])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     rest = np.flatnonzero(~new)
-    diff = {k: cols[k].view(np.uint64)[rest] ^ cols[k].view(np.uint64)[head[rest]] for k in _AROUND}
-    left, right = _grown(diff["b1"], diff["b2"], window - 1), _grown(diff["a1"], diff["a2"], window - 1)
-    lo = cols["first"][rest].astype(np.int64) - left
-    hi = cols["first"][rest].astype(np.int64) + cols["words"][rest] + right
-    # Within one text a repeat may overlap what it repeats; that stays whole.
-    kept = np.where(cols["doc"][rest] == cols["doc"][head[rest]], cols["first"][head[rest]].astype(np.int64) + cols["words"][head[rest]], 0)
-    lo = np.maximum(lo, kept)
+    head = head[rest]
+    first = cols["first"][rest].astype(np.int64)
+    own = (cols["doc"][rest] == cols["doc"][head]) & (cols["key"][rest] == cols["key"][head])
+    # Within one text a repeat may overlap what it repeats; the first `window` words of that stay.
+    lo = np.where(own, np.maximum(first, cols["first"][head].astype(np.int64) + window), first)
+    hi = first + least
     on = lo < hi
-    return new, {"doc": cols["doc"][rest][on], "lo": lo[on], "hi": hi[on]}
+    return new, {"doc": cols["doc"][rest][on], "key": cols["key"][rest][on], "lo": lo[on], "hi": hi[on]}
+
+
+def _joined(many: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([m[k] for m in many]) for k in many[0]}
+
+
+def _identified(b: pa.RecordBatch, on: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By parts of the batch's rows `on`: row numbers, ids, keys, word hashes, and where each row's words begin."""
+    rows = np.flatnonzero(on)
+    if not len(rows):
+        return
+    b = b.select(["text", "__doc", "__key"]).take(pa.array(rows))
+    raw, offsets = strings(b["text"].cast(pa.string()))
+    doc, key = (b[k].to_numpy(zero_copy_only=False) for k in ("__doc", "__key"))
+    for i, j in parts(offsets):
+        words, at = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield rows[i:j], doc[i:j], key[i:j], words, at
+
+
+def repeated_anchors(docs: DataFrame, window: int, least: int) -> DataFrame:
+    """(doc, key, at): word places of the anchors whose hash occurs twice or more. docs is keyed(); places can repeat."""
+    names = ("d1", "doc", "key", "first", "at")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors of a task. Those met twice here are known to repeat: of each such hash one row, without a place, goes on to meet others."""
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cols = _joined(held)
+            order = np.argsort(cols["d1"], kind="stable")
+            cols = {k: v[order] for k, v in cols.items()}
+            new = _new(cols["d1"])
+            many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
+            yield _batch({k: np.where(many, -1, v)[new] if k == "first" else v[new] for k, v in cols.items()}, int(new.sum()), names)
+            yield from _places({k: v[many] for k, v in cols.items()}, names)
+
+        for b in batches:
+            for _, doc, key, words, at in _identified(b, ~np.asarray(b["__doc"].is_null())):
+                place, grams = anchors(words, at, window, least)
+                row = np.searchsorted(at, place, "right") - 1
+                held.append({"d1": grams[place].view(np.int64), "doc": doc[row], "key": key[row], "first": (place - at[row]).astype(np.int32)})
+                size += len(place)
+            if size > HELD:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    found = docs.select("__doc", "__key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(local, "d1 long, doc long, key int, first int, at array<int>")
+    # Rows with `at` are known already: they travel beside the others, spread by document, and skip the comparison.
+    dealt = found.repartition(F.when(F.col("at").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions("d1")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: dict[str, np.ndarray] | None = None
+        for b in batches:
+            known = ~np.asarray(b["at"].is_null())
+            if known.any():
+                m = b.filter(pa.array(known))
+                yield pa.RecordBatch.from_arrays([m["doc"], m["key"], m["at"]], ["doc", "key", "at"])
+            u = b.filter(pa.array(~known))
+            if not u.num_rows:
+                continue
+            cols = {k: u[k].to_numpy(zero_copy_only=False) for k in names[:-1]}
+            if carry is not None:
+                cols = {k: np.concatenate((carry[k], cols[k])) for k in cols}
+            carry = {k: v[-1:] for k, v in cols.items()}  # what the next batch begins with may have the same hash
+            same = ~_new(cols["d1"])
+            twice = (same | np.append(same[1:], False)) & (cols["first"] >= 0)
+            if twice.any():
+                yield _lists(cols["doc"][twice], cols["key"][twice], cols["first"][twice], ("doc", "key", "at"), each=True)
+
+    return dealt.mapInArrow(across, _PLACES)
 
 
-_FIELDS = ("d1", "d2", "doc", "first", "words", *_AROUND)
+def _by_row(places: DataFrame, name: str) -> DataFrame:
+    return places.groupBy(F.col("doc").alias("__d"), F.col("key").alias("__k")).agg(F.collect_list("at").alias(name)).hint("shuffle_hash")
 
 
-def _sorted(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    order = np.lexsort((cols["first"], cols["doc"], cols["d2"], cols["d1"]))
-    return {k: v[order] for k, v in cols.items()}
+def _with(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """docs, all columns, so that both joins share one shuffle of them, beside the places of each row."""
+    by_row = _by_row(places, name)
+    return docs.join(by_row, (docs["__doc"] == by_row["__d"]) & (docs["__key"] == by_row["__k"]), "left").drop("__d", "__k")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc long, lo int, hi int): word ranges of units that occur earlier. docs is text_columns(); ranges overlap."""
+    """(doc long, key int, at array<int>): ranges of words, lo and hi by turns, of runs of `least` words that occur earlier. docs is keyed(); ranges overlap."""
     small_batches(docs.sparkSession)
-    mark = "doc long, lo int, hi int"
+    window = max(1, min(window, (least + 1) // 2))
+    names = (*_FIELDS, "at")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units of a task. All but a digest's first here are known to be repeats and need no shuffle,
+        """Runs of a task. All but a digest's first here are known to be repeats and need no shuffle,
         so that each digest reaches the shuffle once a task at most, however common it is."""
         held: list[dict[str, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cols = _sorted({k: np.concatenate([h[k] for h in held]) for k in _FIELDS})
-            new, marks = _later(cols, window)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k][new]) for k in _FIELDS] + [pa.nulls(int(new.sum()), pa.int32())] * 1, [*_FIELDS, "hi"])
-            m = len(marks["doc"])
-            if m:
-                kinds = {"doc": pa.array(marks["doc"]), "first": pa.array(marks["lo"].astype(np.int32)), "hi": pa.array(marks["hi"].astype(np.int32))}
-                types = {"d1": pa.int64(), "d2": pa.int32(), "words": pa.int32(), **dict.fromkeys(_AROUND, pa.int64())}
-                yield pa.RecordBatch.from_arrays([kinds[k] if k in kinds else pa.nulls(m, types[k]) for k in (*_FIELDS, "hi")], [*_FIELDS, "hi"])
+            cols = _joined(held)
+            order = np.lexsort(tuple(cols[k] for k in reversed(_FIELDS)))
+            cols = {k: v[order] for k, v in cols.items()}
+            new, marks = _later(cols, window, least)
+            yield _batch({k: v[new] for k, v in cols.items()}, int(new.sum()), names)
+            yield from _ranges(marks, names)
 
         for b in batches:
-            raw, offsets = strings(b["text"])
-            ids = b["doc_id"]
-            known = ~np.asarray(ids.is_null())
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for i, j in parts(offsets):
-                u = units(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, least)
-                ok = known[i:j][u["row"]]
-                held.append({
-                    "d1": u["d1"][ok].view(np.int64), "d2": u["d2"][ok].astype(np.int32), "doc": ids[i:j][u["row"][ok]], "first": u["first"][ok].astype(np.int32),
-                    "words": u["words"][ok].astype(np.int32), **{k: u[k][ok].view(np.int64) for k in _AROUND},
-                })
-                size += int(ok.sum())
-            if size > 2_000_000:
+            places = b["__anchors"]
+            for rows, doc, key, words, at in _identified(b, ~np.asarray(places.is_null())):
+                found = [places[i].values.flatten().to_numpy(zero_copy_only=False) + at[j] for j, i in enumerate(rows.tolist())]
+                first, d1, d2 = candidates(words, at, np.concatenate(found), window, least)
+                row = np.searchsorted(at, first, "right") - 1
+                held.append({"d1": d1, "d2": d2, "doc": doc[row], "key": key[row], "first": (first - at[row]).astype(np.int32)})
+                size += len(first)
+            if size > HELD:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
-    found = docs.mapInArrow(local, f"{UNIT}, hi int")
-    # Rows with hi are marks already: they travel beside the units, spread by document, and skip the comparison.
-    key = F.when(F.col("hi").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "first"))
-    dealt = found.repartition(key).sortWithinPartitions("d1", "d2", "doc", "first")
+    found = _with(docs, repeated_anchors(docs, window, least), "__anchors").mapInArrow(local, _UNIT)
+    dealt = found.repartition(F.when(F.col("at").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions(*_FIELDS)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict[str, np.ndarray] | None = None
         for b in batches:
-            hi = b["hi"]
-            is_mark = ~np.asarray(hi.is_null())
-            if is_mark.any():
-                m = b.filter(pa.array(is_mark))
-                yield pa.RecordBatch.from_arrays([m["doc"], m["first"], m["hi"]], ["doc", "lo", "hi"])
-            u = b.filter(pa.array(~is_mark))
+            known = ~np.asarray(b["at"].is_null())
+            if known.any():
+                m = b.filter(pa.array(known))
+                yield pa.RecordBatch.from_arrays([m["doc"], m["key"], m["at"]], ["doc", "key", "at"])
+            u = b.filter(pa.array(~known))
             if not u.num_rows:
                 continue
             cols = {k: u[k].to_numpy(zero_copy_only=False) for k in _FIELDS}
             if carry is not None:
                 cols = {k: np.concatenate((carry[k], cols[k])) for k in _FIELDS}
-            new, marks = _later(cols, window)
+            new, marks = _later(cols, window, least)
             head = int(np.flatnonzero(new)[-1])
             carry = {k: v[head : head + 1] for k, v in cols.items()}  # the last digest's first: later batches compare with it
-            if len(marks["doc"]):
-                yield pa.RecordBatch.from_arrays([pa.array(marks["doc"]), pa.array(marks["lo"].astype(np.int32)), pa.array(marks["hi"].astype(np.int32))], ["doc", "lo", "hi"])
+            yield from _ranges(marks, ("doc", "key", "at"), each=True)
 
-    return dealt.mapInArrow(across, mark)
+    return dealt.mapInArrow(across, _PLACES)
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +310,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -
 
     Rows come back one for one. Null texts stay null, and texts that lose nothing stay as they are, bit for bit. The
     earliest occurrence is that with the least (doc_id, place). Rows without a doc_id have no rank: they neither keep
-    nor lose anything. Rows that repeat a doc_id share its spans, so equal ones are cut alike.
+    nor lose anything. Rows that repeat a doc_id rank by a hash of their texts.
     """
-    marks = repeated(text_columns(docs), window, least)
-    by_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__marks")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"].cast("long") == by_doc["__doc"], "left").drop("__doc")
+    rows = keyed(docs)
+    joined = _with(rows, repeated(rows, window, least), "__marks")
     names = docs.columns
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = f"{have}, removed_spans array<struct<start:int,end:int>>, removed_words long"
@@ -227,8 +323,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -
         spans, words = [[]] * b.num_rows, [0] * b.num_rows
         texts, marked = b["text"].to_pylist(), b["__marks"]
         for i in np.flatnonzero(~np.asarray(marked.is_null())).tolist():
-            m = marked[i].values
-            lo, hi = (m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
+            lo, hi = marked[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2).T
             if texts[i] is not None:
                 texts[i], got, words[i] = _cut(texts[i], lo, hi, least)
                 spans[i] = [{"start": s, "end": e} for s, e in got]

@@ -204,6 +204,36 @@ def test_substring_finds_every_long_repeat(spark):
         seen |= own
 
 
+def slow_left(texts, least=50):
+    """Words left of each text: a word goes if a run of `least` words around it occurs in an earlier text."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split()
+        runs = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        gone = {j for i, r in enumerate(runs) if r in seen for j in range(i, i + least)}
+        seen.update(runs)
+        out.append([x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_substring_does_not_depend_on_the_first_occurrence(spark, partitions):
+    rng = np.random.default_rng(10)
+    new = lambda n: [f"n{x}" for x in rng.integers(0, 1 << 40, n)]
+    sentences, whole = [], []
+    for _ in range(60):  # a 30-word sentence alone, then two texts that share it with 10 more words on either side
+        s, before, after = new(30), new(10), new(10)
+        sentences.append(new(25) + s + new(25))
+        whole += [new(40) + before + s + after + new(40), new(40) + before + s + after + new(40)]
+        whole.append(new(30) + s + after + new(10) + s[:15])  # and one that shares 40 words only
+    texts = [" ".join(t) for t in sentences + whole]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    got = {r.doc_id: r.text.split() for r in substring.substring_dedup(df).collect()}
+    want = slow_left(texts)
+    assert sum(len(t.split()) - len(w) for t, w in zip(texts, want, strict=True)) == 60 * 50
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def slow_base(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
