@@ -128,10 +128,12 @@ def _later(cols: dict[str, np.ndarray], window: int, least: int) -> tuple[np.nda
     head = head[rest]
     first = cols["first"][rest].astype(np.int64)
     own = (cols["doc"][rest] == cols["doc"][head]) & (cols["key"][rest] == cols["key"][head])
+    # A row given twice stands at the same places as itself: none of them is later.
+    twin = own & (first == cols["first"][head])
     # Within one text a repeat may overlap what it repeats; the first `window` words of that stay.
     lo = np.where(own, np.maximum(first, cols["first"][head].astype(np.int64) + window), first)
     hi = first + least
-    on = lo < hi
+    on = (lo < hi) & ~twin
     return new, {"doc": cols["doc"][rest][on], "key": cols["key"][rest][on], "lo": lo[on], "hi": hi[on]}
 
 
@@ -310,7 +312,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -
 
     Rows come back one for one. Null texts stay null, and texts that lose nothing stay as they are, bit for bit. The
     earliest occurrence is that with the least (doc_id, place). Rows without a doc_id have no rank: they neither keep
-    nor lose anything. Rows that repeat a doc_id rank by a hash of their texts.
+    nor lose anything. Rows that repeat a doc_id rank by a hash of their texts; where those are equal too,
+    they count as one occurrence and come out alike.
     """
     rows = keyed(docs)
     joined = _with(rows, repeated(rows, window, least), "__marks")

@@ -234,6 +234,14 @@ def test_substring_does_not_depend_on_the_first_occurrence(spark, partitions):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_substring_rows_that_repeat_an_id(spark, partitions):
+    twice, other, late = words(200, 100), words(60, 700) + " " + words(80, 900), words(60, 800)
+    rows = [(1, twice), (1, twice), (2, words(60, 700)), (3, other), (3, late), (3, late), (4, twice)]
+    got = sorted((r.doc_id, r.text, r.removed_words) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect())
+    assert got == sorted([(1, twice, 0), (1, twice, 0), (2, words(60, 700), 0), (3, words(80, 900), 60), (3, late, 0), (3, late, 0), (4, "", 200)])
+
+
 def slow_base(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
