@@ -1,15 +1,18 @@
 """Mixing documents to target weights of soft domains.
 
 A classifier learnt from a labelled table gives each document a posterior over domains. Nonnegative rates r are then
-fitted so that the expected tokens of each domain, S_k = sum_d r_d tokens_d p_dk, match targets T_k: least squares in
-the metric of A A' (A has the columns tokens_d p_d), by projected gradient from r = 1, whose step in that metric is 1:
-r <- r - A' (A A')^-1 (S - T), held within 0 and MOST repetitions. Without an upper bound, a target for a domain that is
-all but absent would repeat the few documents with a trace of it thousands of times. A document's rate follows from its own few numbers and the K numbers of each
-step, so a step is one distributed sum and rates are never gathered.
+fitted so that the expected tokens of each domain, S_k = sum_d r_d tokens_d p_dk, match targets T_k: of all rates that
+do, those nearest to 1, which are r = max(0, 1 - A' y) for some K numbers y (A has the columns tokens_d p_d). y is found
+by Newton's method in the metric of A A' over the rows whose rate isn't 0, until the totals are met; projected gradient
+with the metric of all rows takes thousands of passes for it. Targets that no nonnegative rates reach are met as closely
+as least squares can. A document's rate follows from its own few numbers and y, so a step is one distributed sum and
+rates are never gathered. No rate is held down: a target for a domain that is all but absent repeats the few documents
+with a trace of it as often as it takes. A domain of weight 0 has no target and takes no part in the fit.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +28,13 @@ DOMAINS = ("low", "high", "toxic")
 #: Target shares of tokens by domain.
 WEIGHTS = {"low": 0.08, "high": 0.90, "toxic": 0.02}
 SAMPLE_ROWS = 1_500
-STEPS, EXACT = 60, 1e-9
-#: The most a document may be repeated.
-MOST = 4.0
+#: Passes after which a fit that goes on is an error, and the relative error at which it ends.
+STEPS, EXACT = 100, 1e-9
+#: Step lengths that one pass tries.
+LENGTHS = 0.5 ** np.arange(10)
+#: Weight of y'AA'y beside the totals: nothing where targets can be reached, and what keeps y finite where they can't.
+SLACK = 1e-10
+_log = logging.getLogger(__name__)
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -59,49 +66,68 @@ def _columns(b: pa.RecordBatch, k: int) -> np.ndarray:
     return b["p"].flatten().to_numpy(zero_copy_only=False).reshape(-1, k) * (b["n_tokens"].to_numpy(zero_copy_only=False) / 1e6)[:, None]
 
 
-def _rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(a))
-    for y in steps:
-        r = np.clip(r - a @ y, 0.0, MOST)
-    return r
+def _rates(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum(1.0 - a @ y, 0.0)
 
 
-def _sums(members: DataFrame, k: int, steps: list[np.ndarray], gram: bool = False) -> np.ndarray:
-    """sum_d r_d a_d after the steps; with gram, sum_d a_d a_d' behind it. K or K + K * K numbers a task."""
+def _sums(members: DataFrame, k: int, trials: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each y: sum_d r_d a_d, sum_d a_d a_d' over rows of a positive rate, and half the sum of r_d squared. Few numbers a task."""
+    n = k + k * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + k * k * gram)
+        total = np.zeros((len(trials), n))
         for b in batches:
             a = _columns(b, k)
-            total[:k] += _rates(a, steps) @ a
-            if gram:
-                total[k:] += (a.T @ a).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
+            for t, y in zip(total, trials, strict=True):
+                r = _rates(a, y)
+                on = a[r > 0]
+                t[:k] += r @ a
+                t[k:-1] += (on.T @ on).ravel()
+                t[-1] += 0.5 * (r @ r)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
     got = dict(members.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x")).collect())
-    return np.array([got.get(i, 0.0) for i in range(k + k * k * gram)])
+    rows = np.array([got.get(i, 0.0) for i in range(len(trials) * n)]).reshape(-1, n)
+    return [(x[:k], x[k:-1].reshape(k, k), float(x[-1])) for x in rows]
 
 
-def fit_rates(members: DataFrame, weights: np.ndarray, tokens: float | None = None, most_steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The steps that give the rates, the fitted domain totals and the targets (both in tokens). members must be settled.
+def fit_rates(members: DataFrame, weights: np.ndarray, tokens: float | None = None, most_steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y, which gives the rates, the fitted domain totals and the targets (both in tokens). members must be settled.
 
-    tokens: the mix's size; all there are if not given. Targets that no rates within 0 and MOST reach are met as closely as
-    least squares can; domains without tokens stay empty.
+    tokens: the mix's size; all there are if not given. Domains without weight, and those without tokens, have y = 0. It
+    is an error if the fit hasn't converged after most_steps passes; targets that are missed as none can reach them are logged.
     """
     k = len(weights)
-    first = _sums(members, k, [], gram=True)
-    s, gram = first[:k], first[k:].reshape(k, k)
+    asked = weights > 0
+    y = np.zeros(k)
+    s, gram, half = _sums(members, k, [y])[0]
     target = weights / weights.sum() * (s.sum() if tokens is None else tokens / 1e6)
-    inverse = np.linalg.pinv(gram, rcond=1e-10)
-    steps: list[np.ndarray] = []
+    whole = gram[np.ix_(asked, asked)]
+    # What lies in no document's reach, as with equal posteriors throughout, can't be approached by any step.
+    aim = whole @ np.linalg.pinv(whole, rcond=1e-10) @ target[asked]
+
+    def slope(y: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return s[asked] - aim - SLACK * (whole @ y[asked])
+
+    def height(y: np.ndarray, half: float) -> float:
+        return half + aim @ y[asked] + SLACK / 2 * (y[asked] @ whole @ y[asked])
+
+    end = EXACT * max(target.sum(), 1e-12)
     for _ in range(most_steps):
-        if np.abs(s - target).sum() <= EXACT * max(target.sum(), 1e-12):
-            break
-        steps.append(inverse @ (s - target))
-        before, s = s, _sums(members, k, steps)
-        if np.abs(s - before).sum() <= 1e-7 * max(target.sum(), 1e-12):
+        g = slope(y, s)
+        if np.abs(g).sum() <= end:
             break
-    return steps, s * 1e6, target * 1e6
+        step = np.zeros(k)
+        step[asked] = np.linalg.pinv(gram[np.ix_(asked, asked)] + SLACK * whole, rcond=1e-14, hermitian=True) @ g
+        trials = [y + x * step for x in LENGTHS]
+        found = _sums(members, k, trials)
+        i = 0 if np.abs(slope(trials[0], found[0][0])).sum() <= np.abs(g).sum() / 2 else int(np.argmin([height(t, f[2]) for t, f in zip(trials, found, strict=True)]))
+        y, (s, gram, half) = trials[i], found[i]
+    else:
+        raise RuntimeError(f"Mixing rates haven't converged after {most_steps} steps: tokens {(s * 1e6).round(1).tolist()}, targets {(target * 1e6).round(1).tolist()}")
+    missed = np.abs(s - target)[asked].sum() > 1e-6 * max(target.sum(), 1e-12)
+    _log.log(logging.WARNING if missed else logging.INFO, "Mixing: tokens %s, targets %s", (s * 1e6).round(1).tolist(), (target * 1e6).round(1).tolist())
+    return y, s * 1e6, target * 1e6
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, weights: dict[str, float] = WEIGHTS, tokens: float | None = None, seed: int = 11) -> DataFrame:
@@ -113,10 +139,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
     """
     k = len(domains)
     members = settle(memberships(docs, train_domains(docs, labelled, k)), "members")
-    steps, _, _ = fit_rates(members, np.array([weights[d] for d in domains], float), tokens)
+    y, _, _ = fit_rates(members, np.array([weights[d] for d in domains], float), tokens)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["p"], pa.array(_rates(_columns(b, k), steps))], ["doc_id", "n_tokens", "p", "rate"])
+        return pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["p"], pa.array(_rates(_columns(b, k), y))], ["doc_id", "n_tokens", "p", "rate"])
 
     rated = map_batches(members, run, "doc_id long, n_tokens long, p array<double>, rate double")
     draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("double")

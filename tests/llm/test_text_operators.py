@@ -349,6 +349,28 @@ def test_mixing_meets_targets(spark, empty, no_labels, docs):
     assert mixing.mix_documents(docs, labels).columns == docs.columns
 
 
+def test_mixing_meets_the_target_of_a_rare_domain(spark, caplog):
+    rng = np.random.default_rng(11)
+    p = np.where(np.arange(3_000)[:, None] % 300 == 0, [0.02, 0.02, 0.96], [0.3, 0.699, 0.001]) + rng.uniform(-0.0005, 0.0005, (3_000, 3)) * [1, -1, 0]
+    p[1::2] = p[1::2][:, [1, 0, 2]]
+    p /= p.sum(1, keepdims=True)
+    n = rng.integers(20, 500, 3_000)
+    members = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(3_000)], "doc_id long, n_tokens long, p array<double>").localCheckpoint()
+    for weights in ([0.40, 0.55, 0.05], [0.65, 0.35, 0.0]):
+        y, fitted, target = mixing.fit_rates(members, np.array(weights))
+        a = p * n[:, None] / 1e6
+        rates = mixing._rates(a, y)
+        on = np.array(weights) > 0
+        assert (rates >= 0).all() and (rates @ a * 1e6)[on] == pytest.approx(target[on], rel=1e-6) and fitted == pytest.approx(rates @ a * 1e6, rel=1e-9)
+        assert target == pytest.approx(np.array(weights) * n.sum())
+        assert rates.max() > 4 or weights[2] == 0  # what the rare domain needs
+    assert not caplog.records
+    _, fitted, target = mixing.fit_rates(members, np.array([0.98, 0.01, 0.01]))  # no document is that much of the first
+    assert caplog.records and np.abs(fitted - target).sum() > 1_000
+    with pytest.raises(RuntimeError, match="converged"):
+        mixing.fit_rates(members, np.array([0.40, 0.55, 0.05]), most_steps=1)
+
+
 def test_resampling_prefers_the_target(spark, empty, no_labels, docs):
     rng = np.random.default_rng(9)
     good, bad = [f"g{i}" for i in range(300)], [f"b{i}" for i in range(300)]
