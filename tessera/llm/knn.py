@@ -24,18 +24,18 @@ SCALE = 256
 GROUPS, GROUP_ROWS = 64, 256
 #: Queries and vectors of one local product.
 QUERY_BLOCK, DATA_BLOCK = 1_024, 65_536
-#: Components are held within this, so that products of up to 2**21 dimensions stay exact in a long.
-LIMIT = 1 << 20
+#: What sums of rounded products may be off by, as a share of both lengths.
+ROUNDING = 1e-12
 
 
 def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, x array<int>): floor(scale * component). Rows with a null id, a null vector or a null or non-finite component are left out.
+    """(vec_id, x array<long>): floor(scale * component). Rows with a null id, a null vector or a null or non-finite component are left out.
 
-    Components beyond 2**20 in size after scaling are held at that.
+    A component that is beyond a long after scaling is an error, as is a score beyond one.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = rows.filter("vec_id IS NOT NULL AND e IS NOT NULL AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
-    return sound.select("vec_id", F.expr(f"transform(e, x -> cast(greatest(-{LIMIT}, least({LIMIT}, floor({scale} * x))) AS int))").alias("x"))
+    return sound.select("vec_id", F.expr(f"transform(e, x -> if(abs({scale} * x) < 9223372036854775808D, floor({scale} * x), cast(raise_error('component beyond a long') AS bigint)))").alias("x"))
 
 
 def matrix(col: pa.Array, dims: int) -> np.ndarray:
@@ -53,10 +53,16 @@ def matrix(col: pa.Array, dims: int) -> np.ndarray:
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles where every partial sum is below 2**53, else in longs."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
+    """Integer inner products: in doubles where every partial sum is below 2**53, in longs below 2**63, else in integers of any size.
+
+    Components are doubles, which hold floor(scale * component) exactly.
+    """
+    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] if q.size and x.size else 0.0
+    if most < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.T.astype(np.int64)
+    if most < 2.0**62:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    return (q.astype(np.int64).astype(object) @ x.T.astype(np.int64).astype(object)).astype(np.int64)  # an OverflowError beyond a long
 
 
 def _near(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -88,7 +94,8 @@ def query_groups(queries: DataFrame, dims: int, pivots: np.ndarray) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(g)), pa.array(most)], ["i", "v"])
 
     got = dict(queries.mapInArrow(far, "i long, v double").groupBy("i").agg(F.max("v")).collect())
-    return centre, np.array([got.get(i, -1.0) for i in range(g)])
+    radius = np.array([got.get(i, -1.0) for i in range(g)])
+    return centre, np.where(radius < 0, radius, radius + ROUNDING * (np.linalg.norm(centre, axis=1) + radius))
 
 
 def thresholds(data: DataFrame, dims: int, centre: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
@@ -137,7 +144,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, group_rows: int = GRO
     dims = max(sizes[1], asked[1], 1)
     n = max(1, min(GROUPS, asked[0] // group_rows))
     drawn = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()  # pivots: a bounded sample
-    pivots = matrix(pa.array([r.x for r in drawn], pa.list_(pa.int32())), dims)
+    pivots = matrix(pa.array([r.x for r in drawn], pa.list_(pa.int64())), dims)
     centre, radius = query_groups(queries, dims, pivots)
     theta = thresholds(data, dims, centre, radius, k + 1)
     live = np.flatnonzero(radius >= 0)
@@ -171,7 +178,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, group_rows: int = GRO
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), g)), pa.array(np.full(len(on), q)), pa.array(salt[on]), pa.array(np.ones(len(on), np.int32)), pa.array(np.zeros(len(on), np.int64)), some["vec_id"], some["x"]], cols)
 
     cols = ["g", "q", "s", "kind", "uid", "vec_id", "x"]
-    schema = "g long, q long, s long, kind int, uid long, vec_id long, x array<int>"
+    schema = "g long, q long, s long, kind int, uid long, vec_id long, x array<long>"
     numbered = queries.withColumn("uid", F.monotonically_increasing_id()).select("vec_id", "x", "uid")
     numbered = settle(numbered, "numbered")
     met = numbered.mapInArrow(send_queries, schema).union(data.mapInArrow(send_data, schema))
@@ -217,7 +224,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, group_rows: int = GRO
     found = met.mapInArrow(solve, "uid long, query long, vec_id long, score long")
     # One row of the query's own vec_id goes: the query itself, if it is among the k + 1 best.
     first = found.withColumn("same", F.row_number().over(Window.partitionBy("uid", "vec_id").orderBy(F.col("score").desc())))
-    self_score = numbered.select(F.col("uid").alias("u"), F.expr("aggregate(x, 0L, (a, v) -> a + cast(v AS bigint) * v)").alias("own_score"))
+    self_score = numbered.select(F.col("uid").alias("u"), F.expr("aggregate(x, 0L, (a, v) -> a + v * v)").alias("own_score"))
     joined = first.join(self_score, F.col("uid") == F.col("u"))
     mine = (F.col("vec_id") == F.col("query")) & (F.col("score") == F.col("own_score"))
     dropped = joined.withColumn("nth", F.row_number().over(Window.partitionBy("uid").orderBy(mine.desc(), "same"))).filter(~(mine & (F.col("nth") == 1)))

@@ -41,3 +41,18 @@ def test_repeated_rows_are_rows(spark):
     v = knn.integer_vectors(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>"))
     got = sorted((r.query, r["rank"], r.vec_id) for r in knn.top_k(v.filter("vec_id = 0"), v).collect())
     assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]
+
+
+def test_large_components_keep_their_value(spark):
+    raw = [(0, [1.0, -0.5]), (3, [1e7, 2.0]), (1, [5_000.0, 0.25]), (2, [8_000.0, 0.0]), (4, [-6_000.0, 0.0]), (5, [-5_000.0, 9_000.0]), (7, [5_000.0, -1e6])]
+    vectors = knn.integer_vectors(spark.createDataFrame(raw, "vec_id long, embedding array<float>"))
+    rows = [(i, [int(np.floor(256 * v)) for v in x]) for i, x in raw]
+    got = sorted((r.query, r["rank"], r.vec_id, r.score) for r in knn.top_k(vectors.filter("vec_id % 3 = 0"), vectors, 5, 1).collect())
+    assert got == brute(rows, 5)
+
+
+def test_products_are_exact_or_an_error():
+    q = np.array([[2.0**40, 3.0], [2.0**33, 1.0]])
+    assert knn.exact_products(q, np.array([[2.0**22, 1.0], [-(2.0**22), 7.0]])).tolist() == [[2**62 + 3, 21 - 2**62], [2**55 + 1, 7 - 2**55]]
+    with pytest.raises(OverflowError):
+        knn.exact_products(q, np.array([[2.0**23, 1.0]]))
