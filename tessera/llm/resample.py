@@ -14,8 +14,6 @@ from tessera.llm import wordnum
 from tessera.llm.common import map_batches, parts, settle, small_batches, strings, text_columns
 
 BUCKETS = 1 << 14
-#: Labelled documents at most that make the target model, by hash order.
-TARGET_ROWS = 8_000
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,19 +98,19 @@ def kth_largest(scored: DataFrame, k: int) -> tuple[int, int]:
     return prefix, left
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, target_rows: int = TARGET_ROWS, seed: int = 5) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 5) -> DataFrame:
     """doc_id, n_features, log_weight, gumbel_key and selected, for each row of docs: the top share of rows by key.
 
-    The target model comes from documents labelled quality 1; share defaults to their share among the labels. Texts
+    The target model comes from all documents labelled quality 1; share defaults to their share among the labels. Texts
     without words have log_weight 0. Of rows with equal keys (rows that repeat a doc_id) just as many as fit are taken.
     Rows without a doc_id share a draw. Without labels nothing is told apart and half of the rows are drawn evenly.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).filter("id IS NOT NULL AND q IS NOT NULL").groupBy("id").agg(F.max("q").alias("q"))
     stats = known.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
     share = (0.5 if stats is None else stats) if share is None else share
-    target = known.filter("q = 1").orderBy(F.xxhash64("id"), "id").select("id", F.lit(True).alias("t")).limit(target_rows)
+    target = known.filter("q = 1").select("id", F.lit(True).alias("t"))
     texts = text_columns(docs)
-    flagged = texts.join(F.broadcast(target), texts["doc_id"] == target["id"], "left").select("text", F.coalesce("t", F.lit(False)).alias("in_target"))
+    flagged = texts.join(target.hint("shuffle_hash"), texts["doc_id"] == target["id"], "left").select("text", F.coalesce("t", F.lit(False)).alias("in_target"))
     ratios = log_ratios(ngram_counts(flagged))
     scored = settle(weigh(texts, ratios, seed), "weights")
     k = int(round(share * scored.count()))

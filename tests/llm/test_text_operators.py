@@ -385,6 +385,12 @@ def test_resampling_prefers_the_target(spark, empty, no_labels, docs):
     assert resample.resample(empty, labels).count() == 0
 
 
+def test_resampling_counts_all_target_texts(spark):
+    df = spark.range(21_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    got = resample.resample(df, df.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).toPandas()
+    assert len(got) == 21_000 and (got.log_weight == 0).all()  # the target is all there is
+
+
 def test_features_of_a_batch_are_those_of_each_text():
     texts = ["a b c", "", "A b", "b c d e", " c"]
     raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
