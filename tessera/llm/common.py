@@ -8,32 +8,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 20_000
-#: Texts are handed to Python in batches of at most this many rows.
-ARROW_ROWS = 1_000
+#: Texts are handed to Python in batches of at most this many rows and about this many bytes.
+ARROW_ROWS, ARROW_BYTES = 1_000, 32 << 20
 
 _own_roots: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or an own one where that is unset."""
+    """Folder that every executor sees: spark.checkpoint.dir. Where that is unset a local master gets a folder of its own; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors see in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_roots[app]
 
 
+def app_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. The file system removes it when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _marked.add(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{app_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,10 +60,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts vary from nothing to megabytes; ten thousand of them a batch is too much for a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Texts vary from nothing to megabytes; ten thousand of them a batch is too much for a worker.
+
+    Spark reads both limits from the session when a plan runs, so they are lowered there, for all that follows; they are never raised.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _number(size: str) -> int:
+    """A setting's number, with or without a byte unit."""
+    size = size.strip().lower().removesuffix("b")
+    return int(size[:-1]) << (10 * (1 + "kmgt".index(size[-1]))) if size[-1:] in "kmgt" and size else int(size)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -72,6 +97,12 @@ def text_columns(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in whatever case: what an operator adds under them takes their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def with_doc_columns(docs: DataFrame, added: list[tuple[str, str]]) -> str:
     """DDL of docs' own columns plus added (name, type) ones."""
     have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -104,7 +135,3 @@ def parts(offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int
 def int_lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
-
-def crc32_mod4(col: Column) -> Column:
-    """crc32 of the decimal id, mod 4: the fold of a labelled row."""
-    return F.crc32(col.cast("string").cast("binary")) % 4

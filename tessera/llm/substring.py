@@ -1,12 +1,15 @@
 """Passages that recur across or within documents: the earliest ranked occurrence stays, the others go.
 
-A word goes if it lies in a run of `least` words that occurs earlier, by (doc_id, place), anywhere. So the result
-depends on the texts alone, whatever else shares parts of a passage and however rows are dealt.
+A word goes if it lies in a run of `least` words that occurs in an earlier text, by doc_id, or in a line of `least` or
+more words that stands earlier in its own text. Words or short lines that a text repeats by itself aren't passages, and
+stay. So the result depends on the texts alone, whatever else shares parts of a passage and however rows are dealt.
 
 Not every run is compared. Of any `window` successive `window`-word grams of a text the one whose hash is least is an
 anchor. All anchors inside a repeated run stand in its other occurrence too, so a first pass looks for anchors
 that occur twice, and a second one compares only those runs all of whose anchors do, by digests. Runs are dealt
 by their first and last anchors, so that neighbouring ones meet their repeats in one task and leave as one range.
+
+Lines or paragraphs alone as units would miss what begins inside one; a repeated line is a repeated run all the same.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordnum
-from tessera.llm.common import map_batches, parts, small_batches, strings
+from tessera.llm.common import map_batches, parts, small_batches, strings, with_doc_columns, without
 
 WINDOW = 16
 LEAST = 50
@@ -28,15 +31,18 @@ HELD = 2_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Places of a row: word numbers (anchors), or pairs of them (ranges).
 _PLACES = "doc long, key int, at array<int>"
-_KINDS = {"d1": pa.int64(), "d2": pa.int64(), "doc": pa.int64(), "key": pa.int32(), "first": pa.int32(), "at": pa.list_(pa.int32())}
-_UNIT = "d1 long, d2 long, doc long, key int, first int, at array<int>"
-_FIELDS = ("d1", "d2", "doc", "key", "first")
+_KINDS = {"d1": pa.int64(), "d2": pa.int64(), "doc": pa.int64(), "key": pa.int32(), "first": pa.int32(), "firsts": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
+#: A run and the places of one text that it begins at (firsts), or ranges that are known to go (at).
+_UNIT = "d1 long, d2 long, doc long, key int, firsts array<int>, at array<int>"
+_FIELDS = ("d1", "d2", "doc", "key")
+#: Names of our own beside the caller's columns.
+_DOC, _KEY, _ANCHORS, _MARKS = "__tessera_doc", "__tessera_key", "__tessera_anchors", "__tessera_marks"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __doc and __key, which name a distinct pair of doc_id and text: rows that repeat a doc_id with another text have another key."""
+    """docs with two columns more, which name a distinct pair of doc_id and text: rows that repeat a doc_id with another text have another key."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    return docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__key", key)
+    return docs.withColumn(_DOC, F.col("doc_id").cast("long")).withColumn(_KEY, key)
 
 
 def _mins(grams: np.ndarray, window: int) -> np.ndarray:
@@ -81,9 +87,9 @@ def candidates(words: np.ndarray, at: np.ndarray, found: np.ndarray, window: int
     return first, d1.view(np.int64), d2.view(np.int64)
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, at = wordnum.bounds(raw, offsets)
-    return (wordnum.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), at
+    return (wordnum.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), at, starts
 
 
 def _new(*cols: np.ndarray) -> np.ndarray:
@@ -120,38 +126,49 @@ def _ranges(marks: dict[str, np.ndarray], names: tuple[str, ...], each: bool = F
         yield _lists(doc[head], key[head], np.stack((lo[head], np.maximum.reduceat(hi, head)), 1), names, each)
 
 
-def _later(cols: dict[str, np.ndarray], window: int, least: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Of runs sorted by digest and rank: which are their digest's first, and the marks (doc, key, lo, hi) of the others."""
+def _later(cols: dict[str, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of runs sorted by digest and rank: which are their digest's first, which are of the same text as that, and the marks (doc, key, lo, hi) of the others."""
     new = _new(cols["d1"], cols["d2"])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    rest = np.flatnonzero(~new)
-    head = head[rest]
-    first = cols["first"][rest].astype(np.int64)
-    own = (cols["doc"][rest] == cols["doc"][head]) & (cols["key"][rest] == cols["key"][head])
-    # A row given twice stands at the same places as itself: none of them is later.
-    twin = own & (first == cols["first"][head])
-    # Within one text a repeat may overlap what it repeats; the first `window` words of that stay.
-    lo = np.where(own, np.maximum(first, cols["first"][head].astype(np.int64) + window), first)
-    hi = first + least
-    on = (lo < hi) & ~twin
-    return new, {"doc": cols["doc"][rest][on], "key": cols["key"][rest][on], "lo": lo[on], "hi": hi[on]}
+    own = (cols["doc"] == cols["doc"][head]) & (cols["key"] == cols["key"][head])
+    first = cols["first"][~own].astype(np.int64)
+    return new, own, {"doc": cols["doc"][~own], "key": cols["key"][~own], "lo": first, "hi": first + least}
+
+
+def repeated_lines(raw: np.ndarray, words: np.ndarray, starts: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of `least` or more words that stand earlier in the same text: the text of each, and its first and last word's places in the batch."""
+    none = np.zeros(0, np.int64)
+    if not len(words):
+        return none, none, none
+    line = np.cumsum(raw == 10)[starts]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    lo = np.flatnonzero(_new(line, text))
+    hi = np.append(lo[1:], len(words))
+    long = hi - lo >= least
+    lo, hi = lo[long], hi[long]
+    digests = [wordnum.mix(wordnum.span_sums(wordnum.mix(words), lo, hi, b)) for b in wordnum.BASES]
+    order = np.lexsort((lo, *digests, text[lo]))
+    lo, hi = lo[order], hi[order]
+    again = ~_new(text[lo], *[d[order] for d in digests]) if len(lo) else np.zeros(0, bool)
+    return text[lo[again]], lo[again], hi[again]
 
 
 def _joined(many: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([m[k] for m in many]) for k in many[0]}
 
 
-def _identified(b: pa.RecordBatch, on: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By parts of the batch's rows `on`: row numbers, ids, keys, word hashes, and where each row's words begin."""
+def _identified(b: pa.RecordBatch, on: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """By parts of the batch's rows `on`: row numbers, ids, keys, word hashes, where each row's words begin among them, the bytes and each word's place there."""
     rows = np.flatnonzero(on)
     if not len(rows):
         return
-    b = b.select(["text", "__doc", "__key"]).take(pa.array(rows))
+    b = b.select(["text", _DOC, _KEY]).take(pa.array(rows))
     raw, offsets = strings(b["text"].cast(pa.string()))
-    doc, key = (b[k].to_numpy(zero_copy_only=False) for k in ("__doc", "__key"))
+    doc, key = (b[k].to_numpy(zero_copy_only=False) for k in (_DOC, _KEY))
     for i, j in parts(offsets):
-        words, at = _words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield rows[i:j], doc[i:j], key[i:j], words, at
+        own = raw[offsets[i] : offsets[j]]
+        words, at, starts = _words(own, offsets[i : j + 1] - offsets[i])
+        yield rows[i:j], doc[i:j], key[i:j], words, at, own, starts
 
 
 def repeated_anchors(docs: DataFrame, window: int, least: int) -> DataFrame:
@@ -173,7 +190,7 @@ def repeated_anchors(docs: DataFrame, window: int, least: int) -> DataFrame:
             yield from _places({k: v[many] for k, v in cols.items()}, names)
 
         for b in batches:
-            for _, doc, key, words, at in _identified(b, ~np.asarray(b["__doc"].is_null())):
+            for _, doc, key, words, at, _, _ in _identified(b, ~np.asarray(b[_DOC].is_null())):
                 place, grams = anchors(words, at, window, least)
                 row = np.searchsorted(at, place, "right") - 1
                 held.append({"d1": grams[place].view(np.int64), "doc": doc[row], "key": key[row], "first": (place - at[row]).astype(np.int32)})
@@ -184,7 +201,7 @@ def repeated_anchors(docs: DataFrame, window: int, least: int) -> DataFrame:
         if size:
             yield from flush()
 
-    found = docs.select("__doc", "__key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(local, "d1 long, doc long, key int, first int, at array<int>")
+    found = docs.select(_DOC, _KEY, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(local, "d1 long, doc long, key int, first int, at array<int>")
     # Rows with `at` are known already: they travel beside the others, spread by document, and skip the comparison.
     dealt = found.repartition(F.when(F.col("at").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions("d1")
 
@@ -211,50 +228,56 @@ def repeated_anchors(docs: DataFrame, window: int, least: int) -> DataFrame:
 
 
 def _by_row(places: DataFrame, name: str) -> DataFrame:
-    return places.groupBy(F.col("doc").alias("__d"), F.col("key").alias("__k")).agg(F.collect_list("at").alias(name)).hint("shuffle_hash")
+    return places.groupBy(F.col("doc").alias("__tessera_d"), F.col("key").alias("__tessera_k")).agg(F.collect_set("at").alias(name)).hint("shuffle_hash")
 
 
 def _with(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """docs, all columns, so that both joins share one shuffle of them, beside the places of each row."""
     by_row = _by_row(places, name)
-    return docs.join(by_row, (docs["__doc"] == by_row["__d"]) & (docs["__key"] == by_row["__k"]), "left").drop("__d", "__k")
+    return docs.join(by_row, (docs[_DOC] == by_row["__tessera_d"]) & (docs[_KEY] == by_row["__tessera_k"]), "left").drop("__tessera_d", "__tessera_k")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc long, key int, at array<int>): ranges of words, lo and hi by turns, of runs of `least` words that occur earlier. docs is keyed(); ranges overlap."""
+    """(doc long, key int, at array<int>): ranges of words, lo and hi by turns, of runs of `least` words that an earlier text has and of lines repeated in one text. docs is keyed(); ranges overlap."""
     small_batches(docs.sparkSession)
     window = max(1, min(window, (least + 1) // 2))
-    names = (*_FIELDS, "at")
+    names = (*_FIELDS, "firsts", "at")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a task. All but a digest's first here are known to be repeats and need no shuffle,
-        so that each digest reaches the shuffle once a task at most, however common it is."""
+        """Runs of a task. Those that an earlier text of the task has are known to go and need no shuffle, so that each
+        digest reaches the shuffle once a task at most, with its places in one text, however common it is."""
         held: list[dict[str, np.ndarray]] = []
+        lines: list[dict[str, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             cols = _joined(held)
-            order = np.lexsort(tuple(cols[k] for k in reversed(_FIELDS)))
+            order = np.lexsort((cols["first"], *(cols[k] for k in reversed(_FIELDS))))
             cols = {k: v[order] for k, v in cols.items()}
-            new, marks = _later(cols, window, least)
-            yield _batch({k: v[new] for k, v in cols.items()}, int(new.sum()), names)
-            yield from _ranges(marks, names)
+            new, own, marks = _later(cols, least)
+            of = np.flatnonzero(new[own])  # a digest's places in its first text stand behind one another
+            if len(of):
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(of, int(own.sum())).astype(np.int32)), pa.array(cols["first"][own]))
+                yield _batch({**{k: cols[k][new] for k in _FIELDS}, "firsts": firsts}, len(of), names)
+            yield from _ranges(_joined([marks, *lines]), names)
 
         for b in batches:
-            places = b["__anchors"]
-            for rows, doc, key, words, at in _identified(b, ~np.asarray(places.is_null())):
+            places = b[_ANCHORS]
+            for rows, doc, key, words, at, raw, starts in _identified(b, ~np.asarray(places.is_null())):
                 found = [places[i].values.flatten().to_numpy(zero_copy_only=False) + at[j] for j, i in enumerate(rows.tolist())]
                 first, d1, d2 = candidates(words, at, np.concatenate(found), window, least)
                 row = np.searchsorted(at, first, "right") - 1
                 held.append({"d1": d1, "d2": d2, "doc": doc[row], "key": key[row], "first": (first - at[row]).astype(np.int32)})
+                row, lo, hi = repeated_lines(raw, words, starts, at, least)
+                lines.append({"doc": doc[row], "key": key[row], "lo": lo - at[row], "hi": hi - at[row]})
                 size += len(first)
             if size > HELD:
                 yield from flush()
-                held, size = [], 0
-        if size:
+                held, lines, size = [], [], 0
+        if held:
             yield from flush()
 
-    found = _with(docs, repeated_anchors(docs, window, least), "__anchors").mapInArrow(local, _UNIT)
+    found = _with(docs, repeated_anchors(docs, window, least), _ANCHORS).mapInArrow(local, _UNIT)
     dealt = found.repartition(F.when(F.col("at").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions(*_FIELDS)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +290,12 @@ def repeated(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataF
             u = b.filter(pa.array(~known))
             if not u.num_rows:
                 continue
-            cols = {k: u[k].to_numpy(zero_copy_only=False) for k in _FIELDS}
+            many = np.diff(u["firsts"].offsets.to_numpy())
+            cols = {k: np.repeat(u[k].to_numpy(zero_copy_only=False), many) for k in _FIELDS}
+            cols["first"] = u["firsts"].flatten().to_numpy(zero_copy_only=False)
             if carry is not None:
-                cols = {k: np.concatenate((carry[k], cols[k])) for k in _FIELDS}
-            new, marks = _later(cols, window, least)
+                cols = {k: np.concatenate((carry[k], v)) for k, v in cols.items()}
+            new, _, marks = _later(cols, least)
             head = int(np.flatnonzero(new)[-1])
             carry = {k: v[head : head + 1] for k, v in cols.items()}  # the last digest's first: later batches compare with it
             yield from _ranges(marks, ("doc", "key", "at"), each=True)
@@ -313,18 +338,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -
     Rows come back one for one. Null texts stay null, and texts that lose nothing stay as they are, bit for bit. The
     earliest occurrence is that with the least (doc_id, place). Rows without a doc_id have no rank: they neither keep
     nor lose anything. Rows that repeat a doc_id rank by a hash of their texts; where those are equal too,
-    they count as one occurrence and come out alike.
+    they count as one occurrence and come out alike. Columns of docs that have the names of the added ones are replaced.
     """
+    docs = without(docs, "removed_spans", "removed_words")
     rows = keyed(docs)
-    joined = _with(rows, repeated(rows, window, least), "__marks")
+    joined = _with(rows, repeated(rows, window, least), _MARKS)
     names = docs.columns
-    have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{have}, removed_spans array<struct<start:int,end:int>>, removed_words long"
+    schema = with_doc_columns(docs, [("removed_spans", "array<struct<start:int,end:int>>"), ("removed_words", "long")])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         spans, words = [[]] * b.num_rows, [0] * b.num_rows
-        texts, marked = b["text"].to_pylist(), b["__marks"]
+        texts, marked = b["text"].to_pylist(), b[_MARKS]
         for i in np.flatnonzero(~np.asarray(marked.is_null())).tolist():
             lo, hi = marked[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2).T
             if texts[i] is not None:
@@ -338,8 +363,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -
 
 def cleaned(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """docs' columns with texts rewritten, and n_chars, where there is one, counted anew for texts that changed."""
-    done = substring_dedup(docs, window, least)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    back = {c: f"__tessera_{c.lower()}" for c in names if c.lower() in ("removed_spans", "removed_words")}  # the caller's own, kept aside
+    done = substring_dedup(docs.withColumnsRenamed(back), window, least)
+    if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[F.col(f"`{back.get(c, c)}`").alias(c) for c in names])
