@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 20_000
+#: Keys that are broadcast, at most, as they have too many rows for one task.
+HOT_KEYS = 5_000
 #: Texts are handed to Python in batches of at most this many rows and about this many bytes.
 ARROW_ROWS, ARROW_BYTES = 1_000, 32 << 20
 
@@ -59,6 +61,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with one(key, ..., n), which has a row for each key and n, how many of the `total` rows have it; n goes.
+
+    Keys with more than a HOT_KEYS-th of the rows, at most HOT_KEYS, are broadcast, so that none of them lands in one
+    task; the others are shuffled.
+    """
+    cut = total // HOT_KEYS
+    hot, cold = F.broadcast(one.filter(F.col("n") > cut)), one.filter(F.col("n") <= cut)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).drop("n").unionByName(rest.join(cold, key).drop("n"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts vary from nothing to megabytes; ten thousand of them a batch is too much for a worker.
 

@@ -15,10 +15,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, settle, text_columns
+from tessera.llm.common import bounded, join_by_key, map_batches, settle, text_columns
 from tessera.llm.components import components
 
 BITS = 64
@@ -30,6 +30,9 @@ BLOCK = 8_192
 PAIRS = 2_000_000
 #: What a probe costs, in candidates.
 PROBE_COST = 4.0
+#: Rows to drop (two numbers each) that are broadcast to the texts; beyond it the texts are shuffled to them.
+DROPPED_ROWS = 200_000
+_ID, _HASH = "__tessera_id", "__tessera_hash"
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -53,14 +56,18 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Every row of docs gets one; null texts count as empty."""
+    """(doc_id, fp, hash): the fingerprint as a signed long, and a hash of the whole text. Every row of docs gets them; null texts count as empty."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(t, k) for t in b["text"].to_pylist()), np.uint64, b.num_rows)
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64)), b["hash"]], ["doc_id", "fp", "hash"])
 
-    return map_batches(text_columns(docs), run, "doc_id long, fp long")
+    return map_batches(text_columns(docs).withColumn("hash", _text_hash()), run, "doc_id long, fp long, hash long")
 
 
 # --- partitions of the bits -------------------------------------------------------------------
@@ -279,7 +286,7 @@ def _solve(key: np.ndarray, probe: np.ndarray, fps: np.ndarray, most: int) -> tu
 
 
 def links(nodes: DataFrame, most: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b) fingerprints whose components are those of all pairs of nodes(fp) within `most` bits.
+    """(a, b): fingerprints whose components are those of all pairs of nodes(fp) within `most` bits.
 
     nodes must be distinct and settled. Each bucket gives a forest of its links, never all its pairs.
     """
@@ -373,27 +380,43 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Ite
         yield numbered(part, value, cell), probe.astype(bool), fp.view(np.uint64)
 
 
+def classes(fps: DataFrame, most: int = 4) -> DataFrame:
+    """fps(doc_id, fp, ...) with component_id, the least doc_id of the fingerprint's component, and keeper, its least (doc_id, hash).
+
+    fps must be settled and have hash, a number of the row's text.
+    """
+    ranked = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
+    nodes = settle(fps.groupBy("fp").agg(F.min(ranked).alias("rep"), F.count("*").alias("n")), "nodes")
+    found = components(links(nodes, most))  # over fingerprints; their least is only a name
+    named = settle(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("keeper"), F.count("*").alias("n"))
+    # A component of many fingerprints, and a fingerprint of many documents (blank texts), are keys with many rows.
+    sizes = named.agg(F.count("*"), F.sum("n")).first()
+    of = settle(join_by_key(named.select("fp", "root", F.col("n").alias("rows")), least, "root", sizes[0]).select("fp", "keeper", F.col("rows").alias("n")), "classes")
+    return join_by_key(fps, of, "fp", sizes[1] or 0).withColumn("component_id", F.col("keeper.doc_id"))
+
+
 def near_duplicates(docs: DataFrame, most: int = 4, k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): components of the documents whose fingerprints differ in at most `most` bits.
 
     One row for each row of docs. component_id is the least doc_id of the component. Null and blank texts have
     fingerprint 0 and are linked like others. A null doc_id never names a component unless it is all there is.
+    Jobs run while the plan is made.
     """
-    fps = settle(fingerprints(docs, k), "fps")
-    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes, most))  # over fingerprints; their least is only a name
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = settle(named.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return classes(settle(fingerprints(docs, k), "fps"), most).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, most: int = 4, k: int = SHINGLE) -> DataFrame:
-    """docs without the documents that aren't their component's least doc_id.
+    """docs with one row of each component: that with the least doc_id, of rows that share it that with the least hash of its text.
 
-    Rows without a doc_id stay, as nothing ranks them; rows that repeat a kept doc_id are the same document and stay once.
+    Of rows equal in doc_id and text one stays. Rows without a doc_id all stay, as nothing ranks them. Two rows of one
+    doc_id with unlike texts are in two components, and both stay. Jobs run while the plan is made.
     """
-    drop = near_duplicates(docs, most, k).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["__drop"], "left_anti")
-    apart = F.when(kept["doc_id"].isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.withColumn("__apart", apart).dropDuplicates(["doc_id", "__apart"]).drop("__apart")
+    found = classes(settle(fingerprints(docs, k), "fps"), most).filter("doc_id IS NOT NULL")
+    rows = found.groupBy("doc_id", "hash").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n"))
+    other = (F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.hash") != F.col("hash"))
+    marked = settle(rows.withColumn("goes", other).filter("goes OR n > 1").select(F.col("doc_id").alias(_ID), F.col("hash").alias(_HASH), "goes"), "dropped")
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(_ID), _text_hash().alias(_HASH))
+    kept = keyed.join(bounded(marked.drop("goes"), DROPPED_ROWS), [_ID, _HASH], "left_anti")
+    again = keyed.join(bounded(marked.filter("NOT goes").drop("goes"), DROPPED_ROWS), [_ID, _HASH], "left_semi").dropDuplicates([_ID, _HASH])
+    return kept.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -137,6 +137,27 @@ def test_simhash_components(docs, rows, empty):
     assert sum(r.doc_id is None for r in kept.collect()) == 1
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark, monkeypatch):
+    a, b = words(200), words(200, 5_000)
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (None, a), (None, a), (4, words(90, 8_000)), (5, None), (6, " ")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, `a.b` string, __drop int")
+    want = sorted([(1, a), (1, b), (4, words(90, 8_000)), (5, None), (None, a), (None, a)], key=repr)
+    for bound in (simhash.DROPPED_ROWS, 0):
+        monkeypatch.setattr(simhash, "DROPPED_ROWS", bound)
+        out = simhash.one_of_each(df)
+        assert out.columns == df.columns and sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == want
+
+
+@pytest.mark.parametrize("keys", [3])
+def test_components_with_hubs(spark, monkeypatch, keys):
+    from tessera.llm import common, components
+
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    pairs = [(0, i) for i in range(1, 300)] + [(1_000 + i, 1_001 + i) for i in range(60)] + [(2_000, i) for i in range(2_001, 2_100)] + [(299, 1_060), (5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 300)}, **{i: 0 for i in range(1_000, 1_061)}, **{i: 2_000 for i in range(2_001, 2_100)}}
+
+
 @pytest.mark.parametrize("block", [8_192, 7])
 def test_simhash_links_all_pairs_within_reach(spark, block):
     rng = np.random.default_rng(3)
