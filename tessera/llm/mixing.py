@@ -1,11 +1,12 @@
 """Mixing documents to target weights of soft domains.
 
 A classifier learnt from a labelled table gives each document a posterior over domains. Nonnegative rates r are then
-fitted so that the expected tokens of each domain, S_k = sum_d r_d tokens_d p_dk, match targets T_k: of all rates that
-do, those nearest to 1, which are r = max(0, 1 - A' y) for some K numbers y (A has the columns tokens_d p_d). y is found
-by Newton's method in the metric of A A' over the rows whose rate isn't 0, until the totals are met; projected gradient
-with the metric of all rows takes thousands of passes for it. Targets that no nonnegative rates reach are met as closely
-as least squares can. A document's rate follows from its own few numbers and y, so a step is one distributed sum and
+fitted so that the expected tokens of each domain, S_k = sum_d r_d tokens_d p_dk, match targets T_k, by projected
+gradient on the squared misses: each step moves the rates along A' (S - T) in some metric and projects them on the
+nonnegative ones, so they stay r = max(0, 1 - A' y) for K numbers y, the steps so far (A has the columns tokens_d p_d).
+With the metric of A A' over the rows whose rate isn't 0 this is Newton's method and takes some ten passes; with a fixed
+step it takes thousands. The end is, of all rates that meet the targets, those nearest to 1. Targets that no nonnegative
+rates reach are met as closely as least squares can. A document's rate follows from its own few numbers and y, so a step is one distributed sum and
 rates are never gathered. No rate is held down: a target for a domain that is all but absent repeats the few documents
 with a trace of it as often as it takes. A domain of weight 0 has no target and takes no part in the fit.
 """
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import subword
-from tessera.llm.common import map_batches, settle, text_columns
+from tessera.llm.common import map_batches, settle, text_columns, with_doc_columns, without
 from tessera.llm.toxicity import labelled_sample
 
 DOMAINS = ("low", "high", "toxic")
@@ -49,16 +50,17 @@ def train_domains(docs: DataFrame, labelled: DataFrame, classes: int, rows: int
 
 
 def memberships(docs: DataFrame, model: subword.Model) -> DataFrame:
-    """(doc_id, n_tokens, p array<double>): whitespace words and the posterior of each row of docs."""
+    """docs with n_tokens long and p array<double>: whitespace words and the posterior of each row. Columns of docs that have these names are replaced."""
+    docs = without(docs, "n_tokens", "p")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b["text"].to_pylist()
+        texts = [t or "" for t in b["text"].to_pylist()]
         p = model.posteriors(texts)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]).astype(np.int32)), pa.array(p.ravel()))
         n = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), lists], ["doc_id", "n_tokens", "p"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(n), lists], [*b.schema.names, "n_tokens", "p"])
 
-    return map_batches(text_columns(docs), run, "doc_id long, n_tokens long, p array<double>")
+    return map_batches(docs, run, with_doc_columns(docs, [("n_tokens", "long"), ("p", "array<double>")]))
 
 
 def _columns(b: pa.RecordBatch, k: int) -> np.ndarray:
@@ -86,7 +88,7 @@ def _sums(members: DataFrame, k: int, trials: list[np.ndarray]) -> list[tuple[np
                 t[-1] += 0.5 * (r @ r)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
-    got = dict(members.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x")).collect())
+    got = dict(members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x")).collect())
     rows = np.array([got.get(i, 0.0) for i in range(len(trials) * n)]).reshape(-1, n)
     return [(x[:k], x[k:-1].reshape(k, k), float(x[-1])) for x in rows]
 
@@ -130,28 +132,37 @@ def fit_rates(members: DataFrame, weights: np.ndarray, tokens: float | None = No
     return y, s * 1e6, target * 1e6
 
 
+def _copies(y: np.ndarray, seed: int) -> tuple[Column, Column]:
+    """The rate of a row of memberships(), and its copies: the rate rounded up or down by a hash of doc_id and seed, so that its mean is the rate."""
+    lowered = sum((F.col("p")[i] * (F.col("n_tokens") / 1e6) * float(v) for i, v in enumerate(y)), F.lit(0.0))
+    rate = F.greatest(F.lit(1.0) - lowered, F.lit(0.0))
+    draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+    return rate, F.floor(rate + draw)
+
+
 def mixed(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, weights: dict[str, float] = WEIGHTS, tokens: float | None = None, seed: int = 11) -> DataFrame:
     """doc_id, n_tokens, the posterior of each domain (p_<name>), rate double and copies long, for each row of docs.
 
     copies rounds the rate up or down at random, by a hash of doc_id and seed, so that its mean is the rate. Texts
-    without words have no tokens: their rate stays 1. A row without a doc_id rounds by one shared draw. labelled has
-    doc_id and domain (0..K-1); without any usable label the posteriors are even.
+    without words have no tokens: their rate stays 1. Rows that repeat a doc_id, or have none, share a draw; each has the
+    rate of its own text. labelled has doc_id and domain (0..K-1); without any usable label the posteriors are even.
+    Jobs run while the plan is made.
     """
-    k = len(domains)
-    members = settle(memberships(docs, train_domains(docs, labelled, k)), "members")
+    members = settle(memberships(text_columns(docs), train_domains(docs, labelled, len(domains))).drop("text"), "members")
     y, _, _ = fit_rates(members, np.array([weights[d] for d in domains], float), tokens)
+    rate, copies = _copies(y, seed)
+    return members.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), copies.alias("copies"))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], b["p"], pa.array(_rates(_columns(b, k), y))], ["doc_id", "n_tokens", "p", "rate"])
-
-    rated = map_batches(members, run, "doc_id long, n_tokens long, p array<double>, rate double")
-    draw = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + draw).alias("copies"))
 
+def mix_documents(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, weights: dict[str, float] = WEIGHTS, tokens: float | None = None, seed: int = 11) -> DataFrame:
+    """docs with each row as often as mixed() says; docs' columns only. Rows without a doc_id stay once.
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, **options: object) -> DataFrame:
-    """docs with each row as often as its copies say, docs' columns only. Rows that repeat a doc_id take its first rate; rows without one stay once."""
-    copies = mixed(docs, labelled, **options).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].cast("long") == copies["__id"], "left")
-    times = F.coalesce(F.col("__copies"), F.lit(1)).cast("int")
-    return joined.filter(times > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    Texts are settled beside their posteriors, so that rates meet them without a join.
+    """
+    names = docs.columns
+    own = {c: f"__tessera_{c.lower()}" for c in names if c.lower() in ("n_tokens", "p")}  # the caller's columns, kept aside
+    members = settle(memberships(docs.withColumnsRenamed(own), train_domains(docs, labelled, len(domains))), "members")
+    y, _, _ = fit_rates(members, np.array([weights[d] for d in domains], float), tokens)
+    _, copies = _copies(y, seed)
+    times = F.when(F.col("doc_id").isNull(), 1).otherwise(copies).cast("int")
+    return members.filter(times > 0).withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

@@ -394,6 +394,46 @@ def test_mixing_meets_targets(spark, empty, no_labels, docs):
     assert mixing.mix_documents(docs, labels).columns == docs.columns
 
 
+def plain_rates(a, target, steps=400_000):
+    """Of the nonnegative rates whose totals meet the targets those nearest to 1, by projected gradient with a fixed step."""
+    y, step = np.zeros(a.shape[1]), 1 / np.linalg.norm(a.T @ a, 2)
+    for _ in range(steps):
+        miss = np.maximum(1 - a @ y, 0) @ a - target
+        if np.abs(miss).sum() < 1e-9 * target.sum():
+            break
+        y += step * miss
+    return np.maximum(1 - a @ y, 0)
+
+
+def test_mixing_equals_plain_projected_gradient(spark):
+    rng = np.random.default_rng(13)
+    n, p = rng.integers(0, 400, 80), rng.dirichlet([0.5, 0.5, 0.5], 80)
+    members = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(80)], "doc_id long, n_tokens long, p array<double>").cache()
+    weights = np.array([0.6, 0.3, 0.1])
+    y, _, target = mixing.fit_rates(members, weights)
+    a = p * n[:, None] / 1e6
+    assert target == pytest.approx(weights * n.sum())
+    assert mixing._rates(a, y) == pytest.approx(plain_rates(a, target / 1e6), abs=1e-4)
+    rate, copies = mixing._copies(y, 11)
+    got = {r.doc_id: r for r in members.select("doc_id", rate.alias("rate"), copies.alias("copies")).collect()}
+    assert [got[i].rate for i in range(80)] == pytest.approx(mixing._rates(a, y), abs=1e-9)
+    assert all(abs(r.rate - r.copies) < 1 for r in got.values())
+
+
+def test_mixing_of_odd_rows(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(i, text("p" if i % 2 else "q")) for i in range(40)] + [(7, text("q")), (7, text("q")), (None, text("p")), (50, None), (51, " "), (52, text("p") + " x" * 5_000)]
+    df = spark.createDataFrame([(i, t, 5, "z", 1, 2) for i, t in rows], "doc_id long, text string, n_tokens int, P string, __copies int, __id int")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, 1)], "doc_id long, domain int")
+    out = mixing.mix_documents(df, labelled, ("q", "p"), {"q": 0.8, "p": 0.2})
+    assert out.columns == df.columns
+    copies = mixing.mixed(df, labelled, ("q", "p"), {"q": 0.8, "p": 0.2}).toPandas()
+    assert len(copies) == len(rows) and copies.rate[copies.n_tokens == 0].eq(1).all()
+    got = out.toPandas()
+    assert got.n_tokens.eq(5).all() and got.P.eq("z").all() and got.doc_id.isna().sum() == 1
+    assert len(got) == copies.copies[copies.doc_id.notna()].sum() + 1
+
+
 def test_mixing_meets_the_target_of_a_rare_domain(spark, caplog):
     rng = np.random.default_rng(11)
     p = np.where(np.arange(3_000)[:, None] % 300 == 0, [0.02, 0.02, 0.96], [0.3, 0.699, 0.001]) + rng.uniform(-0.0005, 0.0005, (3_000, 3)) * [1, -1, 0]
