@@ -2,8 +2,9 @@
 
 A word is the bag of its 3- to 5-character n-grams, with one blank on both sides; n-grams are hashed to rows of an
 embedding matrix. A bag's vector is the mean over its words of the mean over their n-grams; logits are linear in it.
-A text is cut into windows of `window` words; each class but the first takes the log of the sum of its windows' odds, so
-that one window suffices and several add up (window 0: the whole text is one bag). Words never seen share n-gram vectors with seen ones.
+A text is cut into windows of `window` words, one by default; each class but the first takes the log of the sum of its
+windows' odds, so that one window suffices and several add up. window 0 makes the whole text one bag: there a few words
+drown in a long text, or a few letters decide a short one. Words never seen share n-gram vectors with seen ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 class Settings:
     buckets: int = 1 << 17
     dims: int = 4
-    window: int = 2
+    window: int = 1
     epochs: int = 3
     batch: int = 64
     least_steps: int = 120  # few rows are gone through more often
