@@ -100,8 +100,8 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
     turns(conv_id, turn, role, text) are ordered by turn, then role and text, nulls first; repeated rows are turns of
     their own. Null roles and texts are empty. Rows with a null conv_id are one conversation. Pieces joined in turn_no
     order are the conversation; text_at and text_chars (code points, as written) bound each text, and those with
-    `loss` make the loss mask. Turns are rendered where they are read; only the running offset follows the order, in a
-    stream that holds one turn, so a conversation may have any number of turns.
+    `loss` make the loss mask. Turns are rendered in a stream that holds one batch, so a conversation may have any number
+    of turns. Partitions of the result hold whole conversations in order.
     """
     small_batches(turns.sparkSession)
     rows = turns.select(
@@ -109,41 +109,35 @@ def format_conversations(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roles, texts = b["role"].to_pylist(), b["text"].to_pylist()
-            got = [format_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-            head = [len(p) - len(t) - len(END) - 1 for p, t, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [b["conv_id"], b["turn"], b["role"], b["text"], pa.array([p for p, _, _ in got], pa.string()), pa.array(head, pa.int64()), pa.array([len(t) for _, t, _ in got], pa.int64()), pa.array([n for _, _, n in got], pa.int32())],
-                ["conv_id", "turn", "role", "text", "piece", "head", "chars", "rounds"],
-            )
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    written = rows.mapInArrow(write, "conv_id long, turn long, role string, text string, piece string, head long, chars long, rounds int")
-    ordered = written.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn", "text")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, no, at = object(), 0, 0
         for b in batches:
-            cols: dict[str, list[Any]] = {k: [] for k in ("no", "at")}
-            for c, piece, head in zip(b["conv_id"].to_pylist(), b["piece"].to_pylist(), b["head"].to_pylist(), strict=True):
+            out: list[tuple[int, int, str, int, int, bool, int]] = []
+            for c, role, text in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if c != conv:
                     conv, no, at = c, 0, 0
-                cols["no"].append(no)
-                cols["at"].append(at + head)
+                piece, written, rounds = format_turn(role, text)
+                out.append((no, at + len(piece) - len(written) - len(END) - 1, piece, len(written), rounds, role == loss_role, at))
                 no, at = no + 1, at + len(piece)
-            loss = pa.array([r == loss_role for r in b["role"].to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["conv_id"], pa.array(cols["no"], pa.int64()), b["role"], b["piece"], pa.array(cols["at"], pa.int64()), b["chars"], loss, b["rounds"]], [x.split()[0] for x in PIECES.split(", ")])
+            no_, text_at, pieces, chars, rounds_, loss, _ = (list(x) for x in zip(*out, strict=True)) if out else ([],) * 7
+            yield pa.RecordBatch.from_arrays(
+                [b["conv_id"], pa.array(no_, pa.int64()), b["role"], pa.array(pieces, pa.string()), pa.array(text_at, pa.int64()), pa.array(chars, pa.int64()), pa.array(loss, pa.bool_()), pa.array(rounds_, pa.int32())],
+                [x.split()[0] for x in PIECES.split(", ")],
+            )
 
-    return ordered.mapInArrow(place, PIECES)
+    return ordered.mapInArrow(write, PIECES)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
     """Digests of format_conversations()'s rows, read by the parser from the pieces in order and, for the loss, from the mask.
 
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_escaped. A stream that holds one turn.
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_escaped. A stream that holds one batch.
+    ordered: formatted is the very result of format_conversations(), whose partitions are in order; anything read from
+    files is dealt and sorted anew.
     """
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    rows = formatted if ordered else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, Any] | None = None

@@ -35,7 +35,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.format_conversations(chat.with_planted(_table(spark, sf_dir, "conversations"))))
+    return chat.read_back(chat.format_conversations(chat.with_planted(_table(spark, sf_dir, "conversations"))), ordered=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
