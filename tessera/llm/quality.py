@@ -2,7 +2,8 @@
 
 The sketch of a measure is a histogram over fixed buckets: each integer below 64, then 32 buckets an octave, so a
 quantile is off by 1/32 of its value at most. Sketches merge by adding counts: partial aggregation makes them on each
-executor, and a group of few documents takes its language's merged sketch, or that of all.
+executor. A group's fence is blended with its language's, and that with the fence of all documents, by their numbers of
+documents: what few documents say counts for little.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from tessera.llm.common import bounded, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Documents a group needs for thresholds of its own.
-GROUP_LEAST = 100
+#: How many documents of the wider group a fence of the wider group counts for in a blend.
+WIDER = 100
 #: measure: (quantile, spread quantile, times the spread, least room). An upper fence is q + times * (q - spread) + room.
 FENCES = {
     "symbols": (75, 25, 3, 30),
@@ -87,29 +88,33 @@ def fences(sk: DataFrame) -> DataFrame:
     return each.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"max_{k}") for k in FENCES])
 
 
-def quality_filter(docs: DataFrame, group_least: int = GROUP_LEAST) -> DataFrame:
+def blended(f: DataFrame, wider: int = WIDER) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Fences of languages and sources, of languages, and of all (none where no document passes): each (n * its own + wider * the wider one's) div (n + wider)."""
+    cut = [f"max_{k}" for k in FENCES]
+    every = f.filter("level = 2").select(*cut).first()  # one row
+    every = {c: int(every[c]) for c in cut} if every else {}
+    mean = lambda own, above: F.expr(f"(n * {own} + {wider} * {above}) div (n + {wider})")
+    lang = f.filter("level = 1").select(F.col("lang").alias("l1"), *[mean(c, every.get(c, 0)).alias(f"{c}_1") for c in cut])
+    own = f.filter("level = 0").join(lang, F.col("lang").eqNullSafe(F.col("l1"))).select(F.col("lang").alias("l0"), F.col("source").alias("s0"), *[mean(c, f"{c}_1").alias(f"{c}_0") for c in cut])
+    return own, lang, every
+
+
+def quality_filter(docs: DataFrame, wider: int = WIDER) -> DataFrame:
     """doc_id, the counts, base_failed, the group's fences and kept: not base_failed and no measure above its fence.
 
-    One row for each row of docs, whatever repeats. Fences come from all rows that pass the base rules; if none do,
-    the rest isn't kept anyway. Null lang and source group together.
+    One row for each row of docs, whatever repeats. Fences come from all rows that pass the base rules; a group without
+    such rows has its language's, a language without them that of all; if no row passes, fences are null and none is kept.
+    Null lang and source group together. Jobs run while the plan is made.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     r = settle(rates(measures(docs)).withColumn("base_failed", base), "measures")
-    f = settle(fences(sketches(r.filter("NOT base_failed"))), "fences")
-    cut = [f"max_{k}" for k in FENCES]
-    own = f.filter(f"level = 0 AND n >= {group_least}").select(F.col("lang").alias("l0"), F.col("source").alias("s0"), *[F.col(c).alias(f"{c}_0") for c in cut])
-    lang = f.filter(f"level = 1 AND n >= {group_least}").select(F.col("lang").alias("l1"), *[F.col(c).alias(f"{c}_1") for c in cut])
-    every = f.filter("level = 2").select(F.lit(True).alias("any"), *[F.col(c).alias(f"{c}_2") for c in cut])
-    joined = (
-        r.join(bounded(own), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
-        .join(bounded(lang), F.col("lang").eqNullSafe(F.col("l1")), "left")
-        .join(F.broadcast(every), F.col("base_failed").isNotNull() == F.col("any"), "left")  # one row
-    )
-    limit = {c: F.coalesce(f"{c}_0", f"{c}_1", f"{c}_2") for c in cut}
+    own, lang, every = blended(settle(fences(sketches(r.filter("NOT base_failed"))), "fences"), wider)
+    joined = r.join(bounded(settle(own, "own")), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left").join(bounded(lang), F.col("lang").eqNullSafe(F.col("l1")), "left")
+    limit = {f"max_{k}": F.coalesce(F.col(f"max_{k}_0"), F.col(f"max_{k}_1"), F.lit(every.get(f"max_{k}")).cast("long")) for k in FENCES}
     fine = F.lit(True)
     for k in FENCES:
         fine = fine & (F.col(k) <= limit[f"max_{k}"])
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(True))).alias("kept"), *[limit[c].alias(c) for c in cut])
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(True))).alias("kept"), *[x.alias(c) for c, x in limit.items()])
 
 
 ORACLE = r"""
@@ -135,11 +140,15 @@ cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER B
 q AS (SELECT level, lang, source, measure, max(total) AS n, min(CASE WHEN upto * 100 >= total * 25 THEN lo END) AS q25, min(CASE WHEN upto * 100 >= total * 75 THEN lo END) AS q75 FROM cum GROUP BY level, lang, source, measure),
 e AS (SELECT level, lang, source, measure, n, q75 + CASE measure WHEN 'length' THEN 6 ELSE 3 END * (q75 - q25) + CASE measure WHEN 'length' THEN 200 WHEN 'repeats' THEN 100 ELSE 30 END AS fence FROM q),
 h AS (SELECT level, lang, source, max(n) AS n, max(CASE WHEN measure = 'symbols' THEN fence END) AS a, max(CASE WHEN measure = 'dup_lines' THEN fence END) AS b,
-  max(CASE WHEN measure = 'repeats' THEN fence END) AS c, max(CASE WHEN measure = 'length' THEN fence END) AS d FROM e GROUP BY level, lang, source)
+  max(CASE WHEN measure = 'repeats' THEN fence END) AS c, max(CASE WHEN measure = 'length' THEN fence END) AS d FROM e GROUP BY level, lang, source),
+v1 AS (SELECT l.lang, (l.n * l.a + 100 * t.a) // (l.n + 100) AS a, (l.n * l.b + 100 * t.b) // (l.n + 100) AS b, (l.n * l.c + 100 * t.c) // (l.n + 100) AS c, (l.n * l.d + 100 * t.d) // (l.n + 100) AS d
+  FROM h l, h t WHERE l.level = 1 AND t.level = 2),
+v0 AS (SELECT g.lang, g.source, (g.n * g.a + 100 * l.a) // (g.n + 100) AS a, (g.n * g.b + 100 * l.b) // (g.n + 100) AS b, (g.n * g.c + 100 * l.c) // (g.n + 100) AS c, (g.n * g.d + 100 * l.d) // (g.n + 100) AS d
+  FROM h g JOIN v1 l ON g.lang IS NOT DISTINCT FROM l.lang WHERE g.level = 0)
 SELECT x.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND symbols <= coalesce(h0.a, h1.a, h2.a) AND dup_lines <= coalesce(h0.b, h1.b, h2.b) AND repeats <= coalesce(h0.c, h1.c, h2.c) AND "length" <= coalesce(h0.d, h1.d, h2.d) AS kept,
   CAST(coalesce(h0.a, h1.a, h2.a) AS BIGINT) AS max_symbols, CAST(coalesce(h0.b, h1.b, h2.b) AS BIGINT) AS max_dup_lines, CAST(coalesce(h0.c, h1.c, h2.c) AS BIGINT) AS max_repeats, CAST(coalesce(h0.d, h1.d, h2.d) AS BIGINT) AS max_length
-FROM x LEFT JOIN h h0 ON h0.level = 0 AND h0.n >= 100 AND h0.lang IS NOT DISTINCT FROM x.lang AND h0.source IS NOT DISTINCT FROM x.source
-LEFT JOIN h h1 ON h1.level = 1 AND h1.n >= 100 AND h1.lang IS NOT DISTINCT FROM x.lang LEFT JOIN h h2 ON h2.level = 2
+FROM x LEFT JOIN v0 h0 ON h0.lang IS NOT DISTINCT FROM x.lang AND h0.source IS NOT DISTINCT FROM x.source
+LEFT JOIN v1 h1 ON h1.lang IS NOT DISTINCT FROM x.lang LEFT JOIN h h2 ON h2.level = 2
 """
