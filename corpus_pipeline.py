@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, mixing, simhash, substring, toxicity
-from tessera.llm.common import shared_root
+from tessera.llm.common import app_folder
 
 #: SQL for run()'s rows: none, as no stage here is expressible in SQL.
 ORACLE_SQL: str | None = None
@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex[:12]}"
+    base = f"{app_folder(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from tessera.llm import wordnum
-from tessera.llm.common import int_lists, map_batches, parts, strings, text_columns, with_doc_columns
+from tessera.llm.common import int_lists, map_batches, parts, strings, text_columns, with_doc_columns, without
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Runs without a safe boundary that are longer than this are cut into matches here, not by the library's pattern engine.
@@ -181,8 +181,8 @@ def encode_column(col: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_docs(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs plus token_ids array<int> and n_tokens long. Null and empty texts have no tokens; rows come one for one."""
-    path = path or rank_file()
+    """docs plus token_ids array<int> and n_tokens long, in place of columns of these names. Null and empty texts have no tokens; rows come one for one."""
+    path, docs = path or rank_file(), without(docs, "token_ids", "n_tokens")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, offsets = encode_column(b["text"], path)
@@ -192,8 +192,8 @@ def encode_docs(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_docs(encoded: DataFrame, path: str | None = None, ids: str = "token_ids") -> DataFrame:
-    """encoded plus decoded binary: the raw bytes of each row's ids. Null ids give no bytes; unknown ids raise."""
-    path = path or rank_file()
+    """encoded plus decoded binary, in place of a column of this name: the raw bytes of each row's ids. Null ids give no bytes; unknown ids raise."""
+    path, encoded = path or rank_file(), without(encoded, "decoded")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
@@ -228,7 +228,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
     """encode_docs() that decodes each batch again and raises if it doesn't give the very bytes of the texts."""
-    path = path or rank_file()
+    path, docs = path or rank_file(), without(docs, "token_ids", "n_tokens")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, offsets = encode_column(b["text"], path)

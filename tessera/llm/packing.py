@@ -68,15 +68,15 @@ SCHEMA = "pack_id long, n_tokens int, ids array<int>, cu_seqlens array<int>, pos
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def pack_block(ids: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int, pad: int) -> list[np.ndarray]:
-    """Flat columns of one block's rows: the id matrix, rows' token counts, and for each segment its row, size, document and start in it."""
+def pack_block(ids: np.ndarray, offsets: np.ndarray, length: int, pad: int) -> list[np.ndarray]:
+    """Flat columns of one block's rows: the id matrix, rows' token counts and segments; and for each segment its place, size, document (its number in the block) and start in it."""
     piece_from, piece_size, piece_doc, piece_start = [], [], [], []
     for d in range(len(offsets) - 1):
         a, b = int(offsets[d]), int(offsets[d + 1])
         for s in range(a, b, length):  # documents longer than a row go on in further pieces; nothing is dropped
             piece_from.append(s)
             piece_size.append(min(length, b - s))
-            piece_doc.append(int(docs[d]))
+            piece_doc.append(d)
             piece_start.append(s - a)
     rows = best_fit_decreasing(piece_size, length)
     order = np.array([i for r in rows for i in r], np.int64)
@@ -98,22 +98,23 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: in
     the end of each segment), position_resets (where positions start again at 0: each segment's start, and the
     padding's), doc_ids and doc_starts (the segment's document and its first token's place there).
 
-    Every token of every text is in just one row; texts without tokens are in none. A null doc_id is written as null's
-    stand-in, the least long. Blocks of a task are packed by themselves, so only a block's last rows have slack.
+    Every token of every text is in just one row; texts without tokens are in none. A null doc_id stays null; rows that
+    repeat a doc_id are packed each. Blocks of a task are packed by themselves, so only a block's last rows have slack.
     """
     path = path or bpe.rank_file()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId() << 40, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal n
             ids = np.concatenate([h[0] for h in held])
             offsets = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(h[1]) for h in held]))))
-            matrix, count, per, place, size, doc, start = pack_block(ids, offsets, np.concatenate([h[2] for h in held]), length, pad)
+            matrix, count, per, place, size, doc, start = pack_block(ids, offsets, length, pad)
+            doc = pa.concat_arrays([h[2] for h in held]).take(pa.array(doc))
             rows = len(count)
             seg = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
             lists = lambda values, off, kind: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values, kind))
@@ -134,7 +135,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, pad: in
             while at < b.num_rows:  # a block ends at the document that fills it
                 to = min(b.num_rows, int(np.searchsorted(offsets, offsets[at] + BLOCK - tokens, "left")))
                 to = max(to, at + 1)
-                held.append((ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], b["doc_id"].fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)[at:to]))
+                held.append((ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], b["doc_id"].slice(at, to - at)))
                 tokens += int(offsets[to] - offsets[at])
                 at = to
                 if tokens >= BLOCK:
@@ -161,13 +162,15 @@ def positions(resets: list[int], length: int) -> np.ndarray:
 def write_binary(packed: DataFrame, path: str) -> None:
     """Packed rows as little-endian binaries, one Parquet row each: ids as unsigned 16 or 32 bits, the rest as signed 32."""
 
+    def raw(lists: pa.Array, kind: str) -> list[bytes]:
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return [flat[i:j].astype(kind).tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["ids"].to_pylist()
-            kinds = ["<u2" if max(r, default=0) < 1 << 16 else "<u4" for r in ids]
-            raw = lambda rows, kind: pa.array([np.array(r, kind).tobytes() for r in rows], pa.binary())
+            kind = "<u2" if (b["ids"].flatten().to_numpy(zero_copy_only=False).max(initial=0)) < 1 << 16 else "<u4"
             yield pa.RecordBatch.from_arrays(
-                [b["pack_id"], pa.array(kinds), pa.array([np.array(r, k).tobytes() for r, k in zip(ids, kinds, strict=True)], pa.binary()), raw(b["cu_seqlens"].to_pylist(), "<i4"), raw(b["position_resets"].to_pylist(), "<i4")],
+                [b["pack_id"], pa.array([kind] * b.num_rows), pa.array(raw(b["ids"], kind), pa.binary()), pa.array(raw(b["cu_seqlens"], "<i4"), pa.binary()), pa.array(raw(b["position_resets"], "<i4"), pa.binary())],
                 ["pack_id", "dtype", "ids", "cu_seqlens", "position_resets"],
             )
 

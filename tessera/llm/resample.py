@@ -64,8 +64,16 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
 
 
+def draws(ids: pa.Array, text: np.ndarray, seed: int) -> np.ndarray:
+    """A number between 0 and 1 for each row, by its doc_id (null is an id of its own), the hash of its text, and seed."""
+    none = np.asarray(ids.is_null()).astype(np.uint64)
+    own = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    x = wordnum.mix(own * np.uint64(wordnum.BASES[0]) + none) + text.astype(np.int64).view(np.uint64) * np.uint64(wordnum.BASES[1]) + np.uint64(seed)
+    return ((wordnum.mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+
+
 def weigh(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
-    """(doc_id, n_features, log_weight, key, order): key is log_weight plus a Gumbel draw by a hash of doc_id and the row's text."""
+    """(doc_id, n_features, log_weight, key, order): key is log_weight plus a Gumbel draw by draws(). docs has hash, a number of the text."""
     buckets = len(ratios)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -75,8 +83,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
             f, text = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
             weight[i:j] = np.bincount(text, ratios[f], minlength=j - i)
             n[i:j] = np.bincount(text, minlength=j - i)
-        ids = b["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        u = ((wordnum.mix(ids * np.uint64(wordnum.BASES[0]) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+        u = draws(b["doc_id"], b["hash"].to_numpy(zero_copy_only=False), seed)
         key = weight - np.log(-np.log(u))
         return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(weight), pa.array(key), pa.array(sortable(key))], ["doc_id", "n_features", "log_weight", "gumbel_key", "order"])
 
@@ -102,8 +109,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """doc_id, n_features, log_weight, gumbel_key and selected, for each row of docs: the top share of rows by key.
 
     The target model comes from all documents labelled quality 1; share defaults to their share among the labels. Texts
-    without words have log_weight 0. Of rows with equal keys (rows that repeat a doc_id) just as many as fit are taken.
-    Rows without a doc_id share a draw. Without labels nothing is told apart and half of the rows are drawn evenly.
+    without words have log_weight 0. Of rows with equal keys (rows equal in doc_id and text) just as many as fit are taken.
+    Jobs run while the plan is made. Without labels nothing is told apart and half of the rows are drawn evenly.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).filter("id IS NOT NULL AND q IS NOT NULL").groupBy("id").agg(F.max("q").alias("q"))
     stats = known.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
@@ -112,7 +119,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     texts = text_columns(docs)
     flagged = texts.join(target.hint("shuffle_hash"), texts["doc_id"] == target["id"], "left").select("text", F.coalesce("t", F.lit(False)).alias("in_target"))
     ratios = log_ratios(ngram_counts(flagged))
-    scored = settle(weigh(texts, ratios, seed), "weights")
+    scored = settle(weigh(texts.withColumn("hash", F.xxhash64("text")), ratios, seed), "weights")
     k = int(round(share * scored.count()))
     if k <= 0:
         return scored.select("doc_id", "n_features", "log_weight", "gumbel_key", F.lit(False).alias("selected"))

@@ -58,6 +58,14 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert all(bytes(r.decoded).decode() == (r.text or "") and r.n_tokens == len(r.token_ids) for r in back)
 
 
+def test_bpe_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "some text", 9, "t", "d"), (1, "some text", 9, "t", "d"), (None, None, 9, "t", "d")], "doc_id long, text string, N_TOKENS int, token_ids string, decoded string")
+    for out in (bpe.encode_docs(df), bpe.encode_checked(df)):
+        assert out.columns == ["doc_id", "text", "decoded", "token_ids", "n_tokens"]
+        assert sorted(r.n_tokens for r in out.collect()) == [0, 2, 2]
+    assert {bytes(r.decoded) for r in bpe.decode_docs(bpe.encode_docs(df)).collect()} == {b"", b"some text"}
+
+
 def test_bpe_pieces_are_safe(monkeypatch):
     rng = np.random.default_rng(1)
     alphabet = list("ab 's'llé1½!,.\n\t \x1c\x85　  日\r")
@@ -84,7 +92,7 @@ def test_packing_keeps_every_token(docs, rows, empty):
                 parts.setdefault(d, []).append((s, r.ids[r.cu_seqlens[j] : r.cu_seqlens[j + 1]]))
         for i, t, *_ in rows:
             want = library.encode_ordinary(t or "")
-            got = parts.get(-(1 << 63) if i is None else i, [])
+            got = parts.get(i, [])
             copies = 2 if i == 13 else 1
             assert sum(len(x) for _, x in got) == copies * len(want)
             assert [y for _, x in sorted(dict((s, x) for s, x in got).items()) for y in x] == want
@@ -470,6 +478,48 @@ def test_resampling_prefers_the_target(spark, empty, no_labels, docs):
     assert resample.resample(empty, labels).count() == 0
 
 
+def plain_mix(x):
+    for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+        x = (x ^ x >> shift) * factor % (1 << 64)
+    return x ^ x >> 33
+
+
+def plain_features(text):
+    """Hashed words and word pairs, by arithmetic on whole numbers."""
+    one, two = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    h = [plain_mix(sum((b + 1) * pow(one, i, 1 << 64) for i, b in enumerate(w.lower().encode())) % (1 << 64)) for w in WORD.findall(text or "")]
+    h += [plain_mix((a * two + b) % (1 << 64)) for a, b in zip(h, h[1:])]
+    return [(x >> 20) % resample.BUCKETS for x in h]
+
+
+def test_resampling_equals_brute_force(spark):
+    rng = np.random.default_rng(14)
+    good, bad = [f"g{i}" for i in range(40)], [f"B{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good + bad[:10] if i % 3 else bad + good[:10], int(rng.integers(0, 60))))) for i in range(60)] + [(7, "other text"), (None, "g1 g2"), (61, None), (62, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)] + [(7, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    target_ids = {i for i in range(0, 60, 2) if i % 3} | {7}
+    raw, target = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
+    for i, t in rows:
+        np.add.at(raw, plain_features(t), 1)
+        if i in target_ids:
+            np.add.at(target, plain_features(t), 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = resample.resample(df, labels, share=0.4).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_features, round(r.log_weight, 8) + 0.0) for r in got) == sorted((i is None, i or 0, len(plain_features(t)), round(float(ratio[plain_features(t)].sum()), 8) + 0.0) for i, t in rows)
+    best = sorted(got, key=lambda r: -r.gumbel_key)[: round(0.4 * len(rows))]
+    assert sorted(map(str, best)) == sorted(str(r) for r in got if r.selected)
+    noise = np.array([r.gumbel_key - r.log_weight for r in got])
+    assert len(set(noise.round(9))) == len(rows)  # each row has a draw of its own
+
+
+def test_gumbel_draws_are_even():
+    u = resample.draws(pa.array(range(200_000)), np.arange(200_000) * 7, 5)
+    assert abs(np.histogram(u, 20, (0, 1))[0] / 10_000 - 1).max() < 0.05
+    noise = -np.log(-np.log(u))
+    assert noise.mean() == pytest.approx(0.5772, abs=0.02) and noise.var() == pytest.approx(np.pi**2 / 6, rel=0.03)
+
+
 def test_resampling_counts_all_target_texts(spark):
     df = spark.range(21_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
     got = resample.resample(df, df.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).toPandas()
