@@ -28,6 +28,8 @@ WINDOW = 16
 LEAST = 50
 #: Units of a task that are held before they are handed on.
 HELD = 2_000_000
+#: Tasks (a power of two) that the runs between two anchors are dealt to: each task has them once, and a common passage is in most tasks.
+SPREAD = 8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Places of a row: word numbers (anchors), or pairs of them (ranges).
 _PLACES = "doc long, key int, at array<int>"
@@ -278,7 +280,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataF
             yield from flush()
 
     found = _with(docs, repeated_anchors(docs, window, least), _ANCHORS).mapInArrow(local, _UNIT)
-    dealt = found.repartition(F.when(F.col("at").isNull(), F.col("d1")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions(*_FIELDS)
+    dealt = found.repartition(F.when(F.col("at").isNull(), F.xxhash64("d1", F.col("d2").bitwiseAND(SPREAD - 1))).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions(*_FIELDS)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict[str, np.ndarray] | None = None
