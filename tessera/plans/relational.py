@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.dialect import translate
-from tessera.sources.tables import register
+from tessera.sources.tables import NAMES, register
 
 #: name: statement. Money goes through decimals or rounds, so that sums don't depend on order.
 STATEMENTS: dict[str, str] = {
@@ -57,7 +58,7 @@ STATEMENTS: dict[str, str] = {
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, tuple(n for n in NAMES if re.search(rf"\b{n}\b", text)))
         return spark.sql(translate(text))
 
     return run

@@ -38,12 +38,13 @@ _STATE = "next long, pending array<struct<ms:long,seq:long,consumer:string,at:lo
 def consume(stream: DataFrame, consumers: list[str], redeliver_ms: int) -> DataFrame:
     """A consumer group for each key of stream(key, ms, seq, ack boolean): a new entry goes to the next consumer in turn and
     is pending; a row with ack takes it off; entries pending longer than redeliver_ms are delivered again to another one
-    (XREADGROUP, XACK, XAUTOCLAIM). State is one group's pending list, in the state store."""
+    (XREADGROUP, XACK, XAUTOCLAIM). State is one group's pending list, in the state store. With redelivery the query wakes
+    by the clock and never runs out of work; without it (redeliver_ms 0) it rests when the source does."""
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn, held = state.get if state.exists else (0, [])
         pending = {(p["ms"], p["seq"]): dict(p.asDict() if hasattr(p, "asDict") else p) for p in held}
-        now = state.getCurrentProcessingTimeMs()
+        now = state.getCurrentProcessingTimeMs() if redeliver_ms > 0 else 0
         out = []
 
         def deliver(ms: int, seq: int, n: int) -> None:
@@ -63,17 +64,46 @@ def consume(stream: DataFrame, consumers: list[str], redeliver_ms: int) -> DataF
             deliver(p["ms"], p["seq"], p["n"] + 1)
         state.update((turn, [(p["ms"], p["seq"], p["consumer"], p["at"], p["n"]) for p in pending.values()]))
         if pending and redeliver_ms > 0:
-            state.setTimeoutDuration(redeliver_ms)
+            oldest = min(p["at"] for p in pending.values())
+            state.setTimeoutDuration(max(1, oldest + redeliver_ms - now))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DELIVERED.split(", ")])
 
-    return stream.groupBy("key").applyInPandasWithState(step, DELIVERED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("key").applyInPandasWithState(step, DELIVERED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if redeliver_ms > 0 else GroupStateTimeout.NoTimeout)
 
 
-def pop_batches(stream: DataFrame, n: int, order: list[str], keys: list[str]) -> Any:
-    """A foreachBatch function that pops up to n elements a key of each micro-batch: the blocking pops' counterpart."""
-    from pyspark.sql.window import Window
+POPPED = "key string, client string, seq long, value string"
+_QUEUE = "queue array<struct<seq:long,value:string>>, waiting array<struct<seq:long,client:string,n:long>>"
 
-    def popped(df: DataFrame) -> DataFrame:
-        return df.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("ord") <= n)
 
-    return popped
+def blocking_pops(stream: DataFrame, left: bool = True) -> DataFrame:
+    """BLPOP, BRPOP, BLMPOP and their kin over stream(key, seq, kind, value, n): rows of kind `push` bring an element, rows of
+    kind `pop` a client (value) that waits for up to n elements. Clients are served in order of seq, as soon as their key
+    has an element, by one row (key, client, seq, value) for each; what isn't popped stays, what waits goes on waiting.
+    seq orders a key's rows within a batch; for sorted sets push in score order. State is one key's queue."""
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        queue, waiting = ([tuple(x) for x in part or []] for part in (state.get if state.exists else ([], [])))
+        out = []
+        rows = sorted((int(s), str(k), v, int(n)) for b in batches for s, k, v, n in zip(b.seq, b.kind, b.value, b.n, strict=True))
+        for seq, kind, value, n in rows:
+            if kind == "push":
+                queue.append((seq, value))
+            else:
+                waiting.append((seq, value, n))
+            while queue and waiting:
+                _, client, want = waiting.pop(0)
+                for _ in range(min(want, len(queue))):
+                    at, element = queue.pop(0 if left else -1)
+                    out.append((key[0], client, at, element))
+        state.update((queue, waiting))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in POPPED.split(", ")])
+
+    return stream.groupBy("key").applyInPandasWithState(step, POPPED, _QUEUE, "append", GroupStateTimeout.NoTimeout)
+
+
+def joined_streams(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, within: str, late: str) -> DataFrame:
+    """Inner join of two streams on a key, of rows at most `within` apart; the watermarks bound what is kept."""
+    a, b = left.withWatermark(left_time, late).alias("a"), right.withWatermark(right_time, late).alias("b")
+    gap = F.expr(f"INTERVAL {within}")
+    near = (F.col(f"b.{right_time}") >= F.col(f"a.{left_time}") - gap) & (F.col(f"b.{right_time}") <= F.col(f"a.{left_time}") + gap)
+    return a.join(b, (F.col(f"a.{on}") == F.col(f"b.{on}")) & near).select(F.col(f"a.{on}").alias(on), F.col(f"a.{left_time}").alias(left_time), F.col(f"b.{right_time}").alias(right_time))
