@@ -3,7 +3,7 @@
 import pytest
 
 from tessera.plans import predicates as P
-from tessera.plans.session import Session, SqlError
+from tessera.plans.session import Database, SerializationError, Session, SqlError
 
 
 def rows(s, q):
@@ -68,6 +68,95 @@ def test_transactions(s):
     assert rows(s, "SHOW transaction_isolation") == [("serializable",)]
 
 
+def test_last_write_stays_and_constraints_hold(s):
+    s.sql("CREATE TABLE d(k INTEGER PRIMARY KEY, v TEXT DEFAULT 'd, e', q INTEGER UNIQUE, n INTEGER NOT NULL DEFAULT 7, UNIQUE (v, n))")
+    s.sql("INSERT INTO d(k, q) VALUES (1, 5)")
+    assert rows(s, "SELECT * FROM d") == [(1, "d, e", 5, 7)]
+    s.sql("INSERT INTO d VALUES (2, 'a', 1, 1), (2, 'b', 2, 2)")
+    assert rows(s, "SELECT v, q FROM d WHERE k = 2") == [("b", 2)]
+    for bad in ("INSERT INTO d VALUES (3, 'c', 5, 3)", "INSERT INTO d VALUES (3, 'b', 9, 2)", "INSERT INTO d VALUES (3, 'c', 9, NULL)", "INSERT INTO d(k, zz) VALUES (1, 2)", "INSERT INTO d(k) VALUES (1, 2)"):
+        with pytest.raises(SqlError):
+            s.sql(bad)
+    for bad in ("CREATE TABLE c(a INTEGER CHECK (a > 0))", "CREATE TABLE c(a INTEGER, CHECK (a > 0))", "CREATE TABLE c(a INTEGER REFERENCES d(k))", "CREATE TABLE c(a INTEGER, FOREIGN KEY (a) REFERENCES d(k))", "CREATE TABLE c(a INTEGER, UNIQUE (b))"):
+        with pytest.raises(SqlError):
+            s.sql(bad)
+    for bad in ("INSERT INTO", "UPDATE users", "DELETE users", "DROP users", "ALTER users", "CREATE VIEW v", "CREATE TABLE"):
+        with pytest.raises(SqlError):
+            s.sql(bad)
+    assert rows(s, "SELECT count(*) FROM d") == [(2,)]
+
+
+def test_on_conflict(s):
+    s.sql("INSERT INTO users VALUES (1, 'x', 9), (3, 'cyn', 50) ON CONFLICT DO NOTHING")
+    assert rows(s, "SELECT id, name FROM users") == [(1, "ann"), (2, "bob"), (3, "cyn")]
+    s.sql("INSERT INTO users VALUES (1, 'y', 5), (4, 'dan', 1) ON CONFLICT (id) DO UPDATE SET age = age + excluded.age, name = excluded.name")
+    s.sql("INSERT INTO users VALUES (3, 'z', 5), (4, 'z', 5) ON CONFLICT (id) DO UPDATE SET name = excluded.name WHERE age > 10")
+    assert rows(s, "SELECT id, name, age FROM users WHERE id <> 2") == [(1, "y", 35), (3, "z", 50), (4, "dan", 1)]
+    with pytest.raises(SqlError):
+        s.sql("INSERT INTO users VALUES (3, 'z', 5) ON CONFLICT (name) DO UPDATE SET age = 1")
+
+
+@pytest.fixture()
+def two(spark):
+    db = Database()
+    a, b = Session(spark, db), Session(spark, db)
+    a.sql("CREATE TABLE oncall(id INTEGER PRIMARY KEY, role TEXT, n INTEGER)")
+    a.sql("INSERT INTO oncall VALUES (1, 'admin', 1), (2, 'admin', 1), (3, 'user', 1)")
+    return a, b
+
+
+def test_write_skew_is_refused(two):
+    a, b = two
+    for x, i in ((a, 1), (b, 2)):
+        x.sql("BEGIN")
+        assert rows(x, "SELECT count(*) FROM oncall WHERE role = 'admin'") == [(2,)]
+        x.sql(f"UPDATE oncall SET role = 'admin', n = 0 WHERE id = {i}")
+    a.sql("COMMIT")
+    with pytest.raises(SerializationError, match="serialization failure"):
+        b.sql("COMMIT")
+    assert rows(b, "SELECT id, n FROM oncall") == [(1, 0), (2, 1), (3, 1)]
+
+
+def test_phantoms_and_repeatable_reads(two):
+    a, b = two
+    a.sql("BEGIN")
+    assert rows(a, "SELECT id FROM oncall WHERE role = 'admin'") == [(1,), (2,)]
+    b.sql("INSERT INTO oncall VALUES (9, 'admin', 1)")
+    assert rows(a, "SELECT id FROM oncall WHERE role = 'admin'") == [(1,), (2,)]  # the state it began with
+    a.sql("INSERT INTO oncall VALUES (10, 'user', 1)")
+    with pytest.raises(SerializationError):
+        a.sql("COMMIT")
+    assert rows(a, "SELECT id FROM oncall") == [(1,), (2,), (3,), (9,)]
+
+
+def test_unrelated_transactions_both_commit(two):
+    a, b = two
+    a.sql("BEGIN")
+    b.sql("BEGIN")
+    assert rows(a, "SELECT n FROM oncall WHERE id = 1") == [(1,)]
+    a.sql("UPDATE oncall SET n = 5 WHERE id = 1")
+    b.sql("UPDATE oncall SET n = 6 WHERE id = 3")
+    b.sql("DELETE FROM oncall WHERE id = 2")
+    a.sql("COMMIT")
+    b.sql("COMMIT")
+    assert rows(a, "SELECT id, n FROM oncall") == [(1, 5), (3, 6)]
+
+
+def test_readers_never_fail_and_retry_runs_again(two):
+    a, b = two
+    a.sql("BEGIN")
+    rows(a, "SELECT * FROM oncall")
+    b.sql("UPDATE oncall SET n = 2")
+    a.sql("COMMIT")
+    a.retry("UPDATE oncall SET n = n + 1 WHERE id = 1", "DELETE FROM oncall WHERE id = 2")
+    assert rows(b, "SELECT id, n FROM oncall") == [(1, 3), (3, 2)]
+    a.sql("BEGIN")
+    a.sql("ALTER TABLE oncall ADD COLUMN z INTEGER")
+    b.sql("INSERT INTO oncall VALUES (7, 'user', 1)")
+    with pytest.raises(SerializationError):
+        a.sql("COMMIT")
+
+
 def test_predicates_are_three_valued(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, 5, None)], "a long, b long, t string")
     types = {"a": "integer", "b": "integer", "t": "text"}
