@@ -55,6 +55,23 @@ STATEMENTS: dict[str, str] = {
     "sql_star_join": "SELECT r.r_name, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
 }
 
+#: name: (statement in the session's dialect, the oracle's text).
+DIALECT: dict[str, tuple[str, str]] = {
+    "sql_casts_stripped": ("SELECT o_orderkey::text AS k, o_totalprice::decimal(9, 1) AS p FROM orders WHERE o_orderstatus == 'F'", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F'"),
+    "sql_glob": ("SELECT p_partkey FROM part WHERE p_name GLOB '*[a-m]in*' OR p_name NOT GLOB '*e*'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[a-m]in') OR p_name NOT LIKE '%e%'"),
+    "sql_join_natural": ("SELECT n, m, k FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) NATURAL JOIN (SELECT r_regionkey AS k, max(r_name) AS m FROM region GROUP BY 1)",) * 2,
+    "sql_total": ("SELECT c_mktsegment, round(total(c_acctbal), 2) AS t, total(CASE WHEN c_acctbal > 1e9 THEN 1 END) AS z FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, round(coalesce(sum(c_acctbal), 0), 2) AS t, 0.0::DOUBLE AS z FROM customer GROUP BY c_mktsegment"),
+    "sql_group_concat": ("SELECT n_regionkey, group_concat(n_name, '; ') AS names, group_concat(DISTINCT lower(n_name)) AS low FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names, string_agg(lower(n_name), ',' ORDER BY lower(n_name)) AS low FROM nation GROUP BY n_regionkey"),
+    "sql_dates": ("SELECT o_orderkey, strftime('%Y-%m', o_orderdate) AS ym, date(o_orderdate) AS d, unixepoch(o_orderdate) AS s, round(julianday(o_orderdate), 5) AS j FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, CAST(o_orderdate AS DATE) AS d, CAST(epoch(o_orderdate) AS BIGINT) AS s, round(epoch(o_orderdate) / 86400 + 2440587.5, 5) AS j FROM orders"),
+    "sql_json_extract": ("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') > 50", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50"),
+}
+STATEMENTS |= {
+    "sql_join_using_clause": "SELECT k, x.n, y.m FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) x JOIN (SELECT r_regionkey AS k, max(r_name) AS m FROM region GROUP BY r_regionkey) y USING (k)",
+    "sql_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "sql_window_last": "SELECT c_custkey, last_value(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM customer",
+    "sql_index_equality": "SELECT o_orderkey FROM orders WHERE o_custkey = 7",
+}
+
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +81,5 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _query(text) for name, text in STATEMENTS.items()}
-ORACLES = dict(STATEMENTS)
+QUERIES = {name: _query(text) for name, text in {**STATEMENTS, **{n: x for n, (x, _) in DIALECT.items()}}.items()}
+ORACLES = {**STATEMENTS, **{n: x for n, (_, x) in DIALECT.items()}}

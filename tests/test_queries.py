@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import queries, relational
+from tessera.plans import queries, relational, statements
 
 SF = "/root/testdata/sf0.001"
-EVERY = {**queries.QUERIES, **relational.QUERIES}
-SQL = {**queries.ORACLES, **relational.ORACLES}
+EVERY = {**queries.QUERIES, **relational.QUERIES, **statements.QUERIES}
+SQL = {**queries.ORACLES, **relational.ORACLES, **statements.ORACLES}
 
 
 @pytest.fixture(scope="module")
