@@ -44,6 +44,10 @@ def llen(lst: DataFrame) -> DataFrame:
 
 
 def lrange(lst: DataFrame, start: int, stop: int) -> DataFrame:
+    """Indexes from the head need no length, so each task keeps a list's first stop + 1 elements only and sends no more."""
+    if start >= 0 and stop >= 0:
+        first = lst.withColumn("nth", F.row_number().over(_by().orderBy("seq"))).filter((F.col("nth") <= stop + 1) & (F.col("nth") > start))
+        return first.select("key", (F.col("nth") - 1).alias("pos"), "value")
     i = indexed(lst)
     return i.filter(within_indexes(F.col("pos"), F.col("n"), start, stop)).select("key", "pos", "value")
 

@@ -11,7 +11,7 @@ from tessera.functions.text import glob_regex
 def deliveries(m: DataFrame, s: DataFrame) -> DataFrame:
     """One row for each receiver: an equi-join for channels; patterns are matched against distinct channels only."""
     exact = m.join(s.filter("NOT is_glob"), F.col("channel") == F.col("pattern")).select("client", "channel", "pattern", "payload")
-    regex = F.udf(glob_regex, "string")
+    regex = F.pandas_udf(lambda patterns: patterns.map(glob_regex), "string")
     patterns = s.filter("is_glob").withColumn("regex", regex("pattern"))
     matched = m.select("channel").distinct().join(patterns, F.expr("channel rlike regex")).select(F.col("channel").alias("c"), "client", "pattern")
     return exact.unionByName(m.join(matched, F.col("channel") == F.col("c")).select("client", "channel", "pattern", "payload"))

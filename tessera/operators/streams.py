@@ -40,8 +40,21 @@ def in_range(start: str, end: str) -> Column:
     return (F.col("ms") >= m1) & (F.col("ms") <= m2) & lo & hi  # the first two reach the scan
 
 
-def xadd(e: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(e after, rejected) of new(ord, key, ms, seq, fields): an id not above all before it is refused, never reordered."""
+def xadd(e: DataFrame, new: DataFrame, maxlen: int | None = None, minid: str | None = None, nomkstream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(e after, rejected) of new(ord, key, ms, seq, fields): an id not above all before it is refused, never reordered.
+
+    nomkstream: keys without a stream get none, and their rows are neither added nor rejected. maxlen, minid: the streams
+    that got rows are trimmed.
+    """
+    if nomkstream:
+        new = new.join(e.select("key").distinct(), "key", "left_semi").select(*new.columns)
+    if maxlen is not None or minid is not None:
+        after, rejected = xadd(e, new)
+        keys = new.select("key").distinct()
+        hit = after.join(keys, "key", "left_semi").select(*e.columns)
+        hit = hit if maxlen is None else xtrim_maxlen(hit, maxlen)
+        hit = hit if minid is None else xtrim_minid(hit, minid)
+        return after.join(keys, "key", "left_anti").select(*e.columns).unionByName(hit), rejected
     last = e.groupBy("key").agg(F.max(_id()).alias("last"))
     before = F.max(_id()).over(Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
     j = new.withColumn("before", before).join(last, "key", "left")
@@ -193,6 +206,34 @@ def group_setid(g: DataFrame, ids: DataFrame) -> DataFrame:
     return upsert(g, ids.join(g, ["key", "grp"], "left_semi").select(*g.columns), ["key", "grp"])
 
 
+def xsetid(e: DataFrame, new: DataFrame) -> DataFrame:
+    """The last id of each stream (key, ms, seq) after new(key, ms, seq): one below the top entry, or without a stream, is refused."""
+    top = e.groupBy("key").agg(F.max(_id()).alias("top"))
+    j = top.join(new.select("key", _id().alias("asked")), "key", "left")
+    last = F.when(F.col("asked") >= F.col("top"), F.col("asked")).otherwise(F.col("top"))
+    return j.select("key", last.alias("last")).select("key", F.col("last.ms").alias("ms"), F.col("last.seq").alias("seq"))
+
+
+def record_producers(seen: DataFrame, most: int) -> DataFrame:
+    """XIDMPRECORD: what is remembered of seen(key, producer, iid, at): the newest `most` message ids of each producer."""
+    newest = seen.groupBy("key", "producer", "iid").agg(F.max("at").alias("at"))
+    w = Window.partitionBy("key", "producer").orderBy(F.col("at").desc(), "iid")
+    return newest.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+
+
+def configure(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """XCFGSET: settings(key, ...) after changes, a null leaving what is there; keys without a stream are passed over."""
+    rest = [c for c in settings.columns if c != "key"]
+    j = settings.alias("s").join(changes.alias("c"), "key", "left")
+    return j.select("key", *[F.coalesce(F.col(f"c.{c}"), F.col(f"s.{c}")).alias(c) for c in rest])
+
+
+def create_consumer(consumers: DataFrame, new: DataFrame) -> DataFrame:
+    """consumers(key, grp, consumer) with new ones that aren't there yet."""
+    keys = ["key", "grp", "consumer"]
+    return consumers.unionByName(new.select(*keys).distinct().join(consumers, keys, "left_anti"))
+
+
 def del_consumer(p: DataFrame, victims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pending entries each had, p after)."""
     had = victims.join(p, ["key", "grp", "consumer"], "left").groupBy("key", "grp", "consumer").agg(F.count("ms").alias("pending"))

@@ -197,6 +197,22 @@ def randomkey(df: DataFrame, seed: int) -> DataFrame:
     return df.select("key").distinct().orderBy(F.rand(seed)).limit(1)
 
 
+def flush(df: DataFrame) -> DataFrame:
+    """A family without its keys (FLUSHDB; FLUSHALL does it to each): every row is a victim."""
+    return delete(df, df.select("key"))
+
+
+def clock(now: Column) -> tuple[Column, Column]:
+    """TIME: seconds, and the microseconds beyond them."""
+    micros = F.unix_micros(now)
+    return F.floor(micros / 1_000_000).cast("long").alias("seconds"), F.pmod(micros, F.lit(1_000_000)).cast("long").alias("micros")
+
+
+def refused(commands: DataFrame) -> DataFrame:
+    """MOVE and SWAPDB: an error, as there is one database."""
+    return commands.select("command", F.concat(F.lit("ERR "), "command", F.lit(" is not supported: there is one database")).alias("error"))
+
+
 def memory_usage(df: DataFrame, *values: str) -> DataFrame:
     size = F.octet_length("key")
     for v in values:

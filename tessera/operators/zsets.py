@@ -35,6 +35,10 @@ def zcard(z: DataFrame) -> DataFrame:
 
 
 def zrange(z: DataFrame, start: int, stop: int, rev: bool = False) -> DataFrame:
+    """Indexes from the beginning need no count, so each task keeps a key's first stop + 1 members only and sends no more."""
+    if start >= 0 and stop >= 0:
+        first = z.withColumn("nth", F.row_number().over(_by().orderBy(*_order(rev)))).filter((F.col("nth") <= stop + 1) & (F.col("nth") > start))
+        return first.select("key", (F.col("nth") - 1).alias("rank"), "member", "score")
     r = ranked(z, rev)
     return r.filter(within_indexes(F.col("rank"), F.col("n"), start, stop)).select("key", "rank", "member", "score")
 

@@ -11,6 +11,7 @@ from tessera.operators import bitmaps, effects, geo, hashes, hll, json_docs, lis
 from tessera.plans import predicates as P
 from tessera.plans import transactions
 from tessera.plans.fixtures import NOW, Fixtures, sql
+from tessera.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,12 +92,19 @@ add("type", lambda t: strings.type_of(_catalog(t), t.rows([("user:1",), ("part:1
 add("keys", lambda t: strings.keys(t.kv, "user:?[1-3]*"), "kv", "SELECT key FROM kv WHERE regexp_matches(key, '^user:.[1-3]')")
 add("scan", lambda t: strings.scan(t.kv, "user:12", "*5", 40), "kv", "SELECT key FROM (SELECT key FROM kv WHERE key > 'user:12' ORDER BY key LIMIT 40) WHERE key LIKE '%5'")
 add("dbsize", lambda t: strings.dbsize(_catalog(t)), "kv h l s z", "SELECT (SELECT count(*) FROM kv) + (SELECT count(DISTINCT key) FROM h) + (SELECT count(DISTINCT key) FROM l) + (SELECT count(DISTINCT key) FROM s) + (SELECT count(DISTINCT key) FROM z) AS n")
-add("randomkey", lambda t: strings.randomkey(t.kv, 1).agg(F.count("*").alias("n")), body="SELECT CAST(1 AS BIGINT) AS n")
-add("flushdb", lambda t: t.kv.limit(0).agg(F.count("*").alias("n")), body="SELECT CAST(0 AS BIGINT) AS n")
+add("randomkey", lambda t: strings.randomkey(t.kv, 1).join(t.kv, "key", "left_semi").agg(F.count("*").alias("n")), body="SELECT CAST(1 AS BIGINT) AS n")
+add("flushdb", lambda t: strings.flush(t.kv).agg(F.count("*").alias("n")).crossJoin(t.kv.agg(F.count("*").alias("before"))), "kv", "SELECT CAST(0 AS BIGINT) AS n, count(*) AS before FROM kv")
+add("flushall", lambda t: strings.catalog(**{n: strings.flush(d) for n, d in (("string", t.kv), ("hash", t.h), ("list", t.l), ("set", t.s), ("zset", t.z))}).agg(F.count("*").alias("n")).crossJoin(strings.dbsize(_catalog(t)).select(F.col("n").alias("before"))), "kv h l s z",
+    "SELECT CAST(0 AS BIGINT) AS n, (SELECT count(*) FROM kv) + (SELECT count(DISTINCT key) FROM h) + (SELECT count(DISTINCT key) FROM l) + (SELECT count(DISTINCT key) FROM s) + (SELECT count(DISTINCT key) FROM z) AS before")
+add("time", lambda t: t.rows([(1,)], "one int").select(*strings.clock(t.now)), body=f"SELECT CAST({_EPOCH} AS BIGINT) AS seconds, CAST(0 AS BIGINT) AS micros")
+add("move", lambda t: strings.refused(t.rows([("MOVE",), ("SWAPDB",)], "command string")), body="SELECT * FROM (VALUES ('MOVE', 'ERR MOVE is not supported: there is one database'), ('SWAPDB', 'ERR SWAPDB is not supported: there is one database')) v(command, error)")
 add("memory_usage", lambda t: strings.memory_usage(t.h, "field", "value"), "h", "SELECT key, CAST(sum(strlen(key) + strlen(field) + strlen(value)) AS BIGINT) AS bytes FROM h GROUP BY key")
 for _cond, _test in ((None, "true"), ("NX", "due IS NULL"), ("XX", "due IS NOT NULL"), ("GT", "due IS NOT NULL AND na >= due"), ("LT", "due IS NULL OR na <= due")):
     add(f"expire{'_' + _cond.lower() if _cond else ''}", lambda t, c=_cond: strings.expire(t.kv, t.kv.select("key", F.timestamp_seconds(F.unix_seconds(t.now) + (F.length("value") - 26) * 3600).alias("new_at")), t.now, c).select("key", F.unix_seconds("expires_at").alias("due")),
         "kv", f"SELECT key, CAST(CASE WHEN {_test} THEN na ELSE due END AS BIGINT) AS due FROM (SELECT *, {_EPOCH} + (length(value) - 26) * 3600 AS na FROM kv) WHERE NOT (({_test}) AND na < {_EPOCH})")
+for _name, _unit in (("expireat", 1), ("pexpire", 1000), ("pexpireat", 1000)):
+    add(_name, lambda t, u=_unit: strings.expire(t.kv, t.kv.select("key", F.timestamp_micros((F.unix_seconds(t.now) * u + (F.length("value") - 26) * 3600 * u) * (1_000_000 // u)).alias("new_at")), t.now).select("key", F.unix_millis("expires_at").alias("due")),
+        "kv", f"SELECT key, CAST(na * 1000 AS BIGINT) AS due FROM (SELECT *, {_EPOCH} + (length(value) - 26) * 3600 AS na FROM kv) WHERE na >= {_EPOCH}")
 add("persist", lambda t: strings.persist(t.kv, _asked(t)).select("key", F.unix_seconds("expires_at").alias("due")), "kv", f"WITH {_ASKED} SELECT key, CAST(CASE WHEN key NOT IN (SELECT key FROM a) THEN due END AS BIGINT) AS due FROM kv")
 for _name, _unit, _abs, _expr in (("ttl", "s", False, f"due - {_EPOCH}"), ("pttl", "ms", False, f"(due - {_EPOCH}) * 1000"), ("expiretime", "s", True, "due"), ("pexpiretime", "ms", True, "due * 1000")):
     add(_name, lambda t, u=_unit, a=_abs: strings.ttl(t.kv, t.kv.select("key").union(t.rows([("none",)], "key string")), t.now, u, a), "kv", f"SELECT key, CAST(coalesce({_expr}, -1) AS BIGINT) AS ttl FROM kv UNION ALL SELECT 'none', -2")
@@ -117,7 +125,7 @@ add("hlen", lambda t: hashes.hlen(t.h), "h", "SELECT key, count(*) AS n FROM h G
 add("hstrlen", lambda t: hashes.hstrlen(t.h, "name"), "h", "SELECT key, CAST(strlen(value) AS BIGINT) AS len FROM h WHERE field = 'name'")
 add("hincrby", lambda t: hashes.hincrby(t.h, t.h.filter("field in ('size', 'brand')").select("key", "field", F.lit(5).alias("delta"))), "h", "SELECT key, field, CAST(CASE field WHEN 'size' THEN CAST(CASE field WHEN 'size' THEN value END AS BIGINT) + 5 END AS BIGINT) AS value, CASE field WHEN 'brand' THEN 'not a number' END AS error FROM h WHERE field IN ('size', 'brand')")
 add("hincrbyfloat", lambda t: hashes.hincrby(t.h, t.h.filter("field = 'size'").select("key", "field", F.lit(0.5).alias("delta")), "double").select("key", "value"), "h", "SELECT key, CAST(value AS DOUBLE) + 0.5 AS value FROM h WHERE field = 'size'")
-add("hrandfield", lambda t: hashes.hrandfield(t.h, 2, 1).groupBy("key").agg(F.countDistinct("field").alias("n")), "h", "SELECT DISTINCT key, CAST(2 AS BIGINT) AS n FROM h")
+add("hrandfield", lambda t: hashes.hrandfield(t.h, 2, 1).join(t.h.select("key", "field"), ["key", "field"], "left_semi").groupBy("key").agg(F.countDistinct("field").alias("n")), "h", "SELECT DISTINCT key, CAST(2 AS BIGINT) AS n FROM h")
 add("hscan", lambda t: hashes.hscan(t.h, "brand", "n*", 1), "h", "SELECT key, field, value FROM h WHERE field = 'name'")
 add("hgetdel", lambda t: hashes.hgetdel(t.h, t.h.filter("field = 'size'"))[0], "h", "SELECT key, field, value FROM h WHERE field = 'size'")
 _hx = lambda t: t.h.withColumn("field_expires_at", F.when(F.col("field") == "size", F.timestamp_seconds(F.unix_seconds(t.now) + 60)))
@@ -160,8 +168,9 @@ add("srem", lambda t: sets.srem(t.s, t.s.filter("member like '%3'")), "s", "SELE
 add("sismember", lambda t: sets.smismember(t.s, t.rows([("5-LOW", "7")], "key string, member string")), "s", f"SELECT '5-LOW' AS key, '7' AS member, CAST((SELECT count(*) FROM ({_IN(LOW)}) WHERE member = '7') AS BIGINT) AS hit")
 add("smismember", lambda t: sets.smismember(t.s, t.s.select("key").distinct().withColumn("member", F.explode(F.array(F.lit("7"), F.lit("nope"))))), "s", "SELECT k.key, v.member, CAST(CASE WHEN s.member IS NULL THEN 0 ELSE 1 END AS BIGINT) AS hit FROM (SELECT DISTINCT key FROM s) k CROSS JOIN (VALUES ('7'), ('nope')) v(member) LEFT JOIN s ON s.key = k.key AND s.member = v.member")
 add("smembers", lambda t: sets.smembers(t.s).select("key", F.concat_ws(",", "members").alias("members")), "s", "SELECT key, string_agg(member, ',' ORDER BY member) AS members FROM s GROUP BY key")
-add("srandmember", lambda t: sets.srandmember(t.s, 7, 1).groupBy("key").agg(F.countDistinct("member").alias("n")), "s", "SELECT DISTINCT key, CAST(7 AS BIGINT) AS n FROM s")
-add("spop", lambda t: sets.scard(sets.spop(t.s, 4, 1)[1]), "s", "SELECT key, count(*) - 4 AS n FROM s GROUP BY key")
+add("srandmember", lambda t: sets.srandmember(t.s, 7, 1).join(t.s, ["key", "member"], "left_semi").groupBy("key").agg(F.countDistinct("member").alias("n")), "s", "SELECT DISTINCT key, CAST(7 AS BIGINT) AS n FROM s")
+add("spop", lambda t: sets.scard(sets.spop(t.s, 4, 1)[1].join(t.s, ["key", "member"], "left_semi")), "s", "SELECT key, count(*) - 4 AS n FROM s GROUP BY key")
+add("spop_all", lambda t: (lambda popped: popped[0].select("key", "member").union(popped[1].select("key", "member")))(sets.spop(t.s, 4, 1)), "s", "SELECT key, member FROM s")
 add("smove", lambda t: sets.smove(t.s, t.s.filter("key = '5-LOW' and member like '1%'").select(F.col("key").alias("src"), F.lit("low").alias("dst"), "member")), "s", "SELECT CASE WHEN key = '5-LOW' AND member LIKE '1%' THEN 'low' ELSE key END AS key, member FROM s")
 add("sinter", lambda t: sets.sinter(t.s, [HIGH, LOW, URGENT]), "s", f"{_IN(HIGH)} INTERSECT {_IN(LOW)} INTERSECT {_IN(URGENT)}")
 add("sintercard", lambda t: sets.sintercard(t.s, [HIGH, LOW], 10), "s", f"SELECT least(count(*), 10) AS n FROM ({_IN(HIGH)} INTERSECT {_IN(LOW)})")
@@ -188,7 +197,7 @@ add("zrangebylex", lambda t: zsets.zrangebylex(t.z, "[Customer#000000100", "(Cus
 add("zrevrangebylex", lambda t: zsets.zrangebylex(t.z, "(Customer#000000100", "+", rev=True, limit=(1, 5)), "z", _PAGE.format("score DESC, member DESC", "member > 'Customer#000000100'") + " WHERE p BETWEEN 1 AND 5")
 add("zcount", lambda t: zsets.zcount(t.z, "(0", "+inf"), "z", "SELECT key, CAST(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM z GROUP BY key")
 add("zlexcount", lambda t: zsets.zlexcount(t.z, "-", "[Customer#000000500"), "z", "SELECT key, CAST(sum(CASE WHEN member <= 'Customer#000000500' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM z GROUP BY key")
-add("zrandmember", lambda t: zsets.zrandmember(t.z, 3, 1).groupBy("key").agg(F.countDistinct("member").alias("n")), "z", "SELECT DISTINCT key, CAST(3 AS BIGINT) AS n FROM z")
+add("zrandmember", lambda t: zsets.zrandmember(t.z, 3, 1).join(t.z.select("key", "member"), ["key", "member"], "left_semi").groupBy("key").agg(F.countDistinct("member").alias("n")), "z", "SELECT DISTINCT key, CAST(3 AS BIGINT) AS n FROM z")
 for _agg in ("sum", "min", "max"):
     add(f"zunion_{_agg}", lambda t, a=_agg: zsets.zunion(t.zo, _W, a), "zo", f"WITH {_WSQL} SELECT member, {_agg}(score) AS score FROM w GROUP BY member")
     add(f"zinter_{_agg}", lambda t, a=_agg: zsets.zinter(t.zo, _W, a), "zo", f"WITH {_WSQL} SELECT member, {_agg}(score) AS score FROM w GROUP BY member HAVING count(*) = 3")
@@ -332,6 +341,12 @@ add("xclaim", lambda t: streams.xclaim(_pend(t), _pend(t).filter("seq % 2 = 0"),
 add("xclaim_force", lambda t: streams.xclaim(_none(t), _pend(t).filter("seq % 2 = 0"), "new", 0, _at(t), force=t.e)[1].select("key", "seq", "deliveries"), "e", f"WITH {_PEND} SELECT key, seq, CAST(1 AS BIGINT) AS deliveries FROM p WHERE seq % 2 = 0")
 add("xautoclaim", lambda t: streams.xautoclaim(t.e.filter("seq % 7 > 0"), _pend(t), "new", 3_600_000, _at(t), count=20)[1].filter("consumer = 'new'").select("key", "seq"), "e", f"WITH {_PEND} SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM p WHERE {_MS} - due >= 3600000) WHERE r <= 20 AND seq % 7 > 0")
 add("xgroup_create", lambda t: streams.group_create(_groups(t), t.rows([("click", "g", 0, 0), ("click", "h", 0, 0)], "key string, grp string, last_ms long, last_seq long")).groupBy("key").agg(F.count("*").alias("n")), "e", "SELECT DISTINCT key, CAST(CASE key WHEN 'click' THEN 2 ELSE 1 END AS BIGINT) AS n FROM e")
+add("xsetid", lambda t: streams.xsetid(t.e, t.rows([("click", 2_000_000_000_000, 7), ("view", 5, 0)], "key string, ms long, seq long")), "e", "SELECT key, CAST(CASE key WHEN 'click' THEN 2000000000000 ELSE max(ms) END AS BIGINT) AS ms, CAST(CASE key WHEN 'click' THEN 7 ELSE arg_max(seq, CAST(ms AS HUGEINT) * 10000000 + seq) END AS BIGINT) AS seq FROM e GROUP BY key")
+add("xadd_maxlen", lambda t: _slim(streams.xadd(t.e, t.rows([(1, "click", 2_000_000_000_000, 1), (2, "nostream", 5, 1)], "ord int, key string, ms long, seq long").withColumn("fields", F.create_map(F.lit("a"), F.lit("b"))), maxlen=50, nomkstream=True)[0]), "e",
+    "WITH x AS (SELECT key, ms, seq FROM e UNION ALL SELECT 'click', 2000000000000, 1) SELECT key, ms, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms DESC, seq DESC) AS r FROM x) WHERE r <= 50 OR key <> 'click'")
+add("xidmprecord", lambda t: streams.record_producers(t.t("events").select(F.lit("s").alias("key"), F.col("event_type").alias("producer"), F.col("user_id").alias("iid"), F.col("event_id").alias("at")), 20), body="SELECT 's' AS key, producer, iid, last AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY last DESC, iid) AS r FROM (SELECT event_type AS producer, user_id AS iid, max(event_id) AS last FROM events GROUP BY 1, 2)) WHERE r <= 20")
+add("xcfgset", lambda t: streams.configure(t.e.select("key").distinct().select("key", F.lit(100).cast("long").alias("idmp_max"), F.lit(60).cast("long").alias("idmp_seconds")), t.rows([("click", 5, None)], "key string, idmp_max long, idmp_seconds long")), "e", "SELECT DISTINCT key, CAST(CASE key WHEN 'click' THEN 5 ELSE 100 END AS BIGINT) AS idmp_max, CAST(60 AS BIGINT) AS idmp_seconds FROM e")
+add("xgroup_createconsumer", lambda t: streams.create_consumer(t.rows([("click", "g", "c1")], "key string, grp string, consumer string"), t.rows([("click", "g", "c1"), ("click", "g", "c2"), ("click", "g", "c2")], "key string, grp string, consumer string")), body="SELECT 'click' AS key, 'g' AS grp, c AS consumer FROM (VALUES ('c1'), ('c2')) v(c)")
 add("xgroup_destroy", lambda t: streams.group_destroy(_groups(t), _pend(t), t.rows([("click", "g")], "key string, grp string"))[0].select("key"), "e", "SELECT DISTINCT key FROM e WHERE key <> 'click'")
 add("xgroup_setid", lambda t: streams.group_setid(_groups(t), t.rows([("click", "g", 5, 6)], "key string, grp string, last_ms long, last_seq long")), "e", f"SELECT DISTINCT key, 'g' AS grp, CAST(CASE key WHEN 'click' THEN 5 ELSE {_MS} END AS BIGINT) AS last_ms, CAST(CASE key WHEN 'click' THEN 6 ELSE 0 END AS BIGINT) AS last_seq FROM e")
 add("xgroup_delconsumer", lambda t: streams.del_consumer(_pend(t), t.rows([("click", "g", "c1"), ("click", "g", "zz")], "key string, grp string, consumer string"))[0].select("consumer", "pending"), "e", f"WITH {_PEND} SELECT 'c1' AS consumer, count(*) AS pending FROM p WHERE key = 'click' AND consumer = 'c1' UNION ALL SELECT 'zz', 0")
@@ -361,10 +376,27 @@ add("effects_reduce", lambda t: effects.reduce_effects(_log(t)), body="""WITH l
   x AS (SELECT *, max(CASE WHEN gone THEN event_id ELSE -1 END) OVER (PARTITION BY key, elem) AS last FROM l)
   SELECT key, elem, CASE WHEN CAST(elem AS INTEGER) % 2 = 0 THEN 'lww' ELSE 'add_int' END AS merge, CAST(CASE WHEN CAST(elem AS INTEGER) % 2 = 0 THEN arg_max(user_id, event_id) ELSE sum(user_id) END AS VARCHAR) AS value FROM x WHERE NOT gone AND event_id > last GROUP BY key, elem""")
 add("row_materialisation", lambda t: effects.materialise(t.h.select("key", F.col("field").alias("elem"), F.lit("insert").alias("op"), F.lit("lww").alias("merge"), "value", F.lit(1).alias("hlc"), F.lit(1).alias("node")), {"name": ("string", None), "size": ("bigint", 0), "stock": ("bigint", 7)}), body="SELECT 'part:' || p_partkey AS key, p_name AS name, CAST(p_size AS BIGINT) AS size, CAST(7 AS BIGINT) AS stock FROM part")
-_writes = lambda t: t.t("orders").filter("o_orderkey % 500 = 0").select(F.concat(F.lit("t"), (F.col("o_orderkey") % 7).cast("string")).alias("txn"), F.lit("orders").alias("tbl"), F.lit("UPDATE").alias("kind"), "o_orderkey", "o_orderstatus", "o_totalprice")
+_writes = lambda t: t.t("orders").select(F.concat(F.lit("t"), (F.col("o_orderkey") % 7).cast("string")).alias("txn"), F.lit("orders").alias("tbl"), F.lit("UPDATE").alias("kind"), "o_orderkey", "o_orderstatus", "o_totalprice")
 _OBS = [("t0", "orders", P.both(P.cmp("o_orderstatus", "=", "F"), P.cmp("o_totalprice", ">", 250000.0))), ("t1", "orders", P.between("o_orderkey", 0, 1000)), ("t2", "orders", P.cmp("o_orderstatus", "=", 5)), ("t3", "orders", P.TRUE)]
 _TYPES = {"o_orderkey": "integer", "o_orderstatus": "text", "o_totalprice": "real"}
-_CONF = "w AS (SELECT 't' || (o_orderkey % 7) AS txn, * FROM orders WHERE o_orderkey % 500 = 0), f AS (SELECT 't0' AS reader, txn AS writer FROM w WHERE o_orderstatus = 'F' AND o_totalprice > 250000 AND txn <> 't0' UNION SELECT 't1', txn FROM w WHERE o_orderkey BETWEEN 0 AND 1000 AND txn <> 't1' UNION SELECT 't3', txn FROM w WHERE txn <> 't3')"
+_CONF = "w AS (SELECT 't' || (o_orderkey % 7) AS txn, * FROM orders), f AS (SELECT 't0' AS reader, txn AS writer FROM w WHERE o_orderstatus = 'F' AND o_totalprice > 250000 AND txn <> 't0' UNION SELECT 't1', txn FROM w WHERE o_orderkey BETWEEN 0 AND 1000 AND txn <> 't1' UNION SELECT 't3', txn FROM w WHERE txn <> 't3')"
+# --- files by path and command text -----------------------------------------------------------------
+_files = lambda t: t.t("pages").select(F.concat(F.lit("acme/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("value"))
+_FILES = "c AS (SELECT 'acme/' || (page_id % 7) || '/' || page_id AS path, html AS value FROM pages)"
+add("store_put", lambda t: tables.store(_files(t), t.rows([("acme/0/0", "new"), ("other", "x")], "path string, value string")), body=f"WITH {_FILES} SELECT path, value FROM c WHERE path <> 'acme/0/0' UNION ALL SELECT * FROM (VALUES ('acme/0/0', 'new'), ('other', 'x')) v(path, value)")
+add("store_load", lambda t: tables.load(_files(t), "acme/3/3"), body=f"WITH {_FILES} SELECT path, value FROM c WHERE path = 'acme/3/3'")
+add("store_exists", lambda t: tables.exists(_files(t), "acme/3").select(F.col("there").cast("int").alias("there")).union(tables.exists(_files(t), "acme/3/").select(F.col("there").cast("int"))).union(tables.exists(_files(t), "acm").select(F.col("there").cast("int"))), body="SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (0), (0)) v(there)")
+add("store_delete", lambda t: tables.delete(_files(t), "acme/3").select("path"), body=f"WITH {_FILES} SELECT path FROM c WHERE path NOT LIKE 'acme/3/%'")
+add("store_list", lambda t: tables.list_below(_files(t), "acme", False), body=f"WITH {_FILES} SELECT DISTINCT regexp_extract(path, '^acme/[^/]*') AS path FROM c")
+add("store_list_recursive", lambda t: tables.list_below(_files(t), "acme/3/", True), body=f"WITH {_FILES} SELECT path FROM c WHERE path LIKE 'acme/3/%'")
+add("store_stat", lambda t: tables.stat(_files(t).withColumn("modified", t.now), "acme/3/3").select("path", F.col("size").cast("long").alias("size"), F.unix_seconds("modified").alias("modified")), body=f"WITH {_FILES} SELECT path, CAST(strlen(value) AS BIGINT) AS size, CAST({_EPOCH} AS BIGINT) AS modified FROM c WHERE path = 'acme/3/3'")
+add("inline_commands", lambda t: tables.commands(t.t("events").select(F.concat(F.lit("  set k"), F.col("event_id").cast("string"), F.lit(' "'), F.col("event_type"), F.lit(" x\" 'y z'")).alias("value"))).select("name", F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"), F.get("args", F.lit(2)).alias("c"), F.size("args").alias("n")),
+    body="SELECT 'SET' AS name, 'k' || event_id AS a, event_type || ' x' AS b, 'y z' AS c, CAST(3 AS BIGINT) AS n FROM events")
+
+# --- the same functions under their other names -----------------------------------------------------
+for _other, _name in (("hmset", "hset"), ("json_forget", "json_del"), ("georadius_ro", "georadius"), ("georadiusbymember_ro", "georadiusbymember"), ("sort_ro", "sort")):
+    QUERIES[_other], ORACLES[_other] = QUERIES[_name], ORACLES[_name]
+
 add("txn_conflicts", lambda t: transactions.conflicts(_writes(t), _OBS, _TYPES), body=f"WITH {_CONF} SELECT reader, writer FROM f")
 add("txn_aborted", lambda t: transactions.aborted(transactions.conflicts(_writes(t), _OBS, _TYPES), t.rows([(f"t{i}", i, 1) for i in range(7)], "txn string, hlc long, node int")), body=f"WITH {_CONF} SELECT DISTINCT greatest(reader, writer) AS txn FROM f")
 add("watch", lambda t: transactions.watch_conflicts(t.rows([("a", "user:1", 1), ("b", "user:2", 1), ("c", "gone", 1)], "txn string, key string, version long"), t.kv.select("key", F.when(F.col("key") == "user:2", 2).otherwise(1).cast("long").alias("version"))), body="SELECT * FROM (VALUES ('b'), ('c')) v(txn)")

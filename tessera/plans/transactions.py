@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +10,12 @@ from tessera.plans.predicates import Predicate
 
 def conflicts(writes: DataFrame, observations: list[tuple[str, str, Predicate]], types: dict[str, str] | None = None) -> DataFrame:
     """(reader, writer): writes(txn, tbl, kind, columns...) of another transaction that satisfy one of the observations
-    (txn, table, predicate). Each observation is a filter, which Catalyst pushes to the scan; the writes are never
-    joined with each other. INSERT and UPDATE give their new row, DELETE its old one."""
+    (txn, table, predicate). The writes are scanned once, whatever the number of observations: each is a condition on a
+    row, which gives its readers. INSERT and UPDATE give their new row, DELETE its old one."""
     if not observations:
         return writes.select(F.lit(None).cast("string").alias("reader"), F.col("txn").alias("writer")).limit(0)
-    parts = [
-        writes.filter((F.col("tbl") == table) & (F.col("txn") != txn) & F.coalesce(p.column(types), F.lit(False))).select(F.lit(txn).alias("reader"), F.col("txn").alias("writer"))
-        for txn, table, p in observations
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    hits = [F.when((F.col("tbl") == table) & (F.col("txn") != txn) & F.coalesce(p.column(types), F.lit(False)), F.lit(txn)) for txn, table, p in observations]
+    return writes.select(F.explode(F.array_distinct(F.array_compact(F.array(*hits)))).alias("reader"), F.col("txn").alias("writer")).distinct()
 
 
 def aborted(found: DataFrame, order: DataFrame) -> DataFrame:

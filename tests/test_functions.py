@@ -71,3 +71,45 @@ def test_dialect():
 def test_predicate_text_round_trip():
     p = P.either(P.both(P.cmp("a", "=", 1), P.negate(P.is_null("b"))), P.between("c", "x", "y"), P.colcmp("a", "<", "d"), P.TRUE)
     assert P.Predicate.loads(p.dumps()) == p
+
+
+def test_digest_is_xxh3(spark):
+    import xxhash
+
+    from tessera.operators import strings
+
+    values = ["", "a", "Hello world", "é日本", "x" * 1_000]
+    kv = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)], "key string, value string")
+    got = {r[0]: r[1] for r in strings.digest(kv).collect()}
+    assert got == {f"k{i}": xxhash.xxh3_64_hexdigest(v.encode()) for i, v in enumerate(values)}
+
+
+def plain_geohash(lon, lat):
+    """Eleven characters by halving intervals over the whole globe, longitude first; the last has two bits only."""
+    alphabet, lons, lats, bits = "0123456789bcdefghjkmnpqrstuvwxyz", [-180.0, 180.0], [-90.0, 90.0], []
+    for i in range(55):
+        side, x = (lats, lat) if i % 2 else (lons, lon)
+        middle = sum(side) / 2
+        bits.append(int(x >= middle))
+        side[1 - bits[-1]] = middle
+    return "".join(alphabet[int("".join(map(str, bits[i : i + 5])), 2)] for i in range(0, 55, 5))
+
+
+def test_geohash(spark):
+    from tessera.operators import geo
+
+    points = [("a", 13.361389, 38.115556), ("b", 15.087269, 37.502669), ("c", -0.1, 51.5), ("d", 179.99, -84.9)]
+    g = geo.geoadd(spark.createDataFrame([("k", m, x, y) for m, x, y in points], "key string, member string, lon double, lat double"))
+    got = {r.member: r.geohash for r in geo.geohash(g).collect()}
+    assert got["a"][:10] == "sqc8b49rny" and got["b"][:10] == "sqdtr74hyu"
+    assert all(got[m][:9] == plain_geohash(x, y)[:9] for m, x, y in points)
+
+
+def test_file_formats_round_trip(spark, tmp_path):
+    from tessera.sources import tables
+
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, -2.0), (3, "c,\"x", 0.0)], "id long, s string, v double")
+    for form in ("parquet", "json", "orc", "csv"):
+        tables.write(df, f"{tmp_path}/{form}", form, sort_by=("id",))
+        back = tables.read(spark, f"{tmp_path}/{form}", form, "id long, s string, v double")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect())), form
