@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import subword
-from tessera.llm.common import map_batches, settle, text_columns, with_doc_columns, without
+from tessera.llm.common import give_back, map_batches, settle, text_columns, with_doc_columns, without
 from tessera.llm.toxicity import labelled_sample
 
 DOMAINS = ("low", "high", "toxic")
@@ -46,7 +46,9 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def train_domains(docs: DataFrame, labelled: DataFrame, classes: int, rows: int = SAMPLE_ROWS) -> subword.Model:
     """A linear softmax over averaged word vectors from at most `rows` labelled documents of each domain."""
     texts, y, share = labelled_sample(docs, labelled, "domain", classes, rows, hold_out=None)
-    return subword.train(texts, y, classes, subword.Settings(buckets=1 << 18, window=0, epochs=6, subwords=False), share)
+    model = subword.train(texts, y, classes, subword.Settings(buckets=1 << 18, window=0, epochs=6, subwords=False), share)
+    give_back()
+    return model
 
 
 def memberships(docs: DataFrame, model: subword.Model) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import subword
-from tessera.llm.common import map_batches, text_columns, with_doc_columns, without
+from tessera.llm.common import give_back, map_batches, text_columns, with_doc_columns, without
 
 #: Labelled rows of each label that training takes, by hash order of doc_id, and how many characters they may have in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 40_000_000
@@ -54,7 +54,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, values: int,
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> subword.Model:
     """A model from the labelled rows outside the held-out fold. labels(doc_id, toxic)."""
     texts, y, share = labelled_sample(docs, labels, "toxic", 2, rows)
-    return subword.train(texts, y, 2, subword.Settings(), share)
+    model = subword.train(texts, y, 2, subword.Settings(), share)
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: subword.Model, threshold: float = THRESHOLD) -> DataFrame:
