@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import inspect
 import textwrap
+import threading
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -79,6 +81,33 @@ class Registry:
         return out
 
 
+def limited(spark: SparkSession, seconds: float, fn: Callable[[], Any]) -> Any:
+    """fn(), whose jobs on this thread are cancelled once `seconds` are over, those that it would start later as well.
+
+    A frame that fn returns hasn't run yet: to limit it too, fn must act on it. Python code between jobs isn't interrupted.
+    """
+    group, late = f"limited-{uuid.uuid4().hex[:12]}", threading.Event()
+
+    def kill() -> None:
+        late.set()
+        spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
+
+    timer = threading.Timer(seconds, kill)
+    before = {k: spark.sparkContext.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    spark.sparkContext.setJobGroup(group, "a program with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return fn()
+    except Exception as e:
+        if late.is_set():
+            raise ScriptError(f"stopped after {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        for k, v in before.items():
+            spark.sparkContext.setLocalProperty(k, v)
+
+
 def register_sql(spark: SparkSession, name: str, fn: Callable[..., Any], returns: str, vectorised: bool = True) -> None:
     """A function for SQL text: in Arrow batches unless asked otherwise."""
     from pyspark.sql import functions as F

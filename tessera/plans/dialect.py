@@ -40,6 +40,9 @@ _FUNCTIONS = {
     "strftime": _strftime,
     "julianday": lambda x: f"(CAST(unix_micros(CAST({x} AS TIMESTAMP)) AS DOUBLE) / 86400000000 + 2440587.5)",
     "unixepoch": lambda x: f"unix_seconds(CAST({x} AS TIMESTAMP))",
+    "iif": lambda test, yes, no="NULL": f"IF({test}, {yes}, {no})",
+    "typeof": lambda x: f"CASE WHEN ({x}) IS NULL THEN 'null' ELSE CASE regexp_replace(typeof({x}), '[(].*', '') WHEN 'string' THEN 'text' WHEN 'binary' THEN 'blob' WHEN 'float' THEN 'real' WHEN 'double' THEN 'real' WHEN 'decimal' THEN 'real' WHEN 'date' THEN 'text' WHEN 'timestamp' THEN 'text' ELSE 'integer' END END",
+    "json_group_array": lambda x: f"to_json(sort_array(collect_list({x})))",
     "json_extract": lambda doc, path: f"get_json_object({doc}, {path})",
 }
 _CALL = re.compile(rf"(?<![\w.])({'|'.join(_FUNCTIONS)})\s*\(", re.I)

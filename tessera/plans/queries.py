@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import structs
 from tessera.operators import bitmaps, effects, geo, hashes, hll, json_docs, lists, pubsub, sets, sorting, streams, strings, zsets
 from tessera.plans import predicates as P
 from tessera.plans import transactions
@@ -400,3 +401,8 @@ for _other, _name in (("hmset", "hset"), ("json_forget", "json_del"), ("georadiu
 add("txn_conflicts", lambda t: transactions.conflicts(_writes(t), _OBS, _TYPES), body=f"WITH {_CONF} SELECT reader, writer FROM f")
 add("txn_aborted", lambda t: transactions.aborted(transactions.conflicts(_writes(t), _OBS, _TYPES), t.rows([(f"t{i}", i, 1) for i in range(7)], "txn string, hlc long, node int")), body=f"WITH {_CONF} SELECT DISTINCT greatest(reader, writer) AS txn FROM f")
 add("watch", lambda t: transactions.watch_conflicts(t.rows([("a", "user:1", 1), ("b", "user:2", 1), ("c", "gone", 1)], "txn string, key string, version long"), t.kv.select("key", F.when(F.col("key") == "user:2", 2).otherwise(1).cast("long").alias("version"))), body="SELECT * FROM (VALUES ('b'), ('c')) v(txn)")
+
+# Binary records
+add("struct_pack", lambda t: t.t("customer").select("c_custkey", F.hex(structs.pack(">I4Hs", F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment"))).alias("packed")), body="SELECT c_custkey, printf('%08X', c_custkey) || printf('%04X', c_nationkey) || hex(c_mktsegment) || '00' AS packed FROM customer")
+add("struct_unpack", lambda t: t.t("customer").select(structs.unpack("<!4bi8dBc0", structs.pack("<!4bi8dBc0", -F.col("c_nationkey"), F.col("c_custkey") * -(1 << 40), F.col("c_acctbal"), F.length("c_name"), F.col("c_name"))).alias("u")).select("u.v1", "u.v2", "u.v3", F.col("u.v4").cast("string").alias("v4"), "u.next"),
+    body="SELECT CAST(-c_nationkey AS BIGINT) AS v1, c_custkey * -1099511627776 AS v2, c_acctbal AS v3, c_name AS v4, CAST(22 + length(c_name) AS BIGINT) AS next FROM customer")

@@ -64,6 +64,9 @@ DIALECT: dict[str, tuple[str, str]] = {
     "sql_group_concat": ("SELECT n_regionkey, group_concat(n_name, '; ') AS names, group_concat(DISTINCT lower(n_name)) AS low FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names, string_agg(lower(n_name), ',' ORDER BY lower(n_name)) AS low FROM nation GROUP BY n_regionkey"),
     "sql_dates": ("SELECT o_orderkey, strftime('%Y-%m', o_orderdate) AS ym, date(o_orderdate) AS d, unixepoch(o_orderdate) AS s, round(julianday(o_orderdate), 5) AS j FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym, CAST(o_orderdate AS DATE) AS d, CAST(epoch(o_orderdate) AS BIGINT) AS s, round(epoch(o_orderdate) / 86400 + 2440587.5, 5) AS j FROM orders"),
     "sql_json_extract": ("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') > 50", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50"),
+    "sql_iif": ("SELECT o_orderkey, iif(o_totalprice > 200000, 'much', iif(o_orderstatus == 'F', 'done', 'open')) AS k FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'much' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS k FROM orders"),
+    "sql_typeof": ("SELECT c_custkey, typeof(c_custkey) AS a, typeof(c_name) AS b, typeof(c_acctbal) AS c, typeof(nullif(c_mktsegment, 'BUILDING')) AS d FROM customer", "SELECT c_custkey, 'integer' AS a, 'text' AS b, 'real' AS c, CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE 'text' END AS d FROM customer"),
+    "sql_json_group_array": ("SELECT n_regionkey, json_group_array(n_nationkey) AS l FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) || ']' AS l FROM nation GROUP BY n_regionkey"),
 }
 STATEMENTS |= {
     "sql_join_using_clause": "SELECT k, x.n, y.m FROM (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) x JOIN (SELECT r_regionkey AS k, max(r_name) AS m FROM region GROUP BY r_regionkey) y USING (k)",

@@ -113,3 +113,43 @@ def test_file_formats_round_trip(spark, tmp_path):
         tables.write(df, f"{tmp_path}/{form}", form, sort_by=("id",))
         back = tables.read(spark, f"{tmp_path}/{form}", form, "id long, s string, v double")
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect())), form
+
+
+def test_struct():
+    import struct
+
+    from tessera.functions import structs
+
+    assert structs.pack_values(">bHi3d", (-1, 65537, -2, 0.5)) == struct.pack(">bH", -1, 1) + b"\xff\xff\xfe" + struct.pack(">d", 0.5)
+    assert structs.pack_values("<!4 b i4 x c2 s", (1, 2, "abc", "z")) == b"\x01\0\0\0\x02\0\0\0\0abz\0"
+    assert structs.unpack_values("<!4 b i4 x c2 s", b"\x01\0\0\0\x02\0\0\0\0abz\0") == ([1, 2, b"ab", b"z"], 14)
+    assert structs.unpack_values(">Hc0B", b"\0\x02hi\xff") == ([b"hi", 255], 6)
+    assert structs.size("!8 b d h") == 18 and structs.size("bd") == 9
+    for form, data in (("i9", b""), ("?", b""), ("d", b"1234"), ("s", b"ab"), ("c0", b"")):
+        with pytest.raises(ValueError, match=r"."):
+            structs.unpack_values(form, data)
+    with pytest.raises(ValueError, match="variable"):
+        structs.size("s")
+
+
+def test_struct_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import structs
+
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "x"), (None, "y")], "n long, s string").select(structs.pack("<qs", F.col("n"), F.col("s")).alias("p"))
+    got = [r.u for r in df.select(structs.unpack("<qs", F.col("p")).alias("u")).collect()]
+    assert sorted(str(g) for g in got) == sorted(["None", str(got[0] or got[1])]) and {g.v1 for g in got if g} == {big}
+
+
+def test_time_limit(spark):
+    import time
+
+    from tessera.functions.registry import ScriptError, limited
+
+    assert limited(spark, 60, lambda: spark.range(5).count()) == 5
+    began = time.time()
+    with pytest.raises(ScriptError, match="stopped"):
+        limited(spark, 1, lambda: spark.range(200_000_000_000).selectExpr("sum(hash(id))").collect())
+    assert time.time() - began < 30 and spark.range(5).count() == 5
