@@ -123,14 +123,16 @@ def hpersist(h: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hsetex(h: DataFrame, writes: DataFrame, condition: str | None = None, keep_ttl: bool = False) -> DataFrame:
-    """writes(pos, key, field, value, field_expires_at), all of a key or none: FNX none of its fields may exist, FXX all must."""
+    """writes(pos, key, field, value, field_expires_at), all of a key or none: FNX none of its fields may exist, FXX all must.
+    Its joins are merges: Spark guesses exploded fields at their file's size and would broadcast any number of them."""
+    h = h.hint("merge")
     last = writes.groupBy("key", "field").agg(F.max_by("value", "pos").alias("value"), F.max_by("field_expires_at", "pos").alias("field_expires_at"))
     old = h.select("key", "field", F.col("field_expires_at").alias("old_at"), F.lit(1).alias("there"))
     j = last.join(old, ["key", "field"], "left")
     state = j.groupBy("key").agg(F.count("*").alias("asked"), F.count("there").alias("have"))
     gate = {None: state, "FNX": state.filter("have = 0"), "FXX": state.filter("have = asked")}[condition].select("key")
     at = F.coalesce("field_expires_at", "old_at") if keep_ttl else F.col("field_expires_at")
-    return upsert(h, j.join(gate, "key", "left_semi").select("key", "field", "value", at.alias("field_expires_at")), ["key", "field"])
+    return upsert(h, j.join(gate.hint("merge"), "key", "left_semi").select("key", "field", "value", at.alias("field_expires_at")), ["key", "field"])
 
 
 def hgetex(h: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
